@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tessitura.functions.ids import sql_is_named, sql_seg_id
-from tessitura.llm import cutoffs, splits, topn
+from tessitura.llm import cutoffs, neighbours, splits, topn
 from tessitura.plans.tables import table
 
 
@@ -40,7 +42,19 @@ def p5_top(spark, d):
     return topn.top_segments(table(spark, d, "scores"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p3_found, p3_assignment, p3_shares, p5_found, p5_top)}
+def _vectors(spark, d):
+    return neighbours.Neighbours(table(spark, d, "stat_server"), "vec_id", "stat1", 64)
+
+
+def p6_found(spark, d):
+    return _vectors(spark, d).similar_pairs(0.90).select("vec_a", "vec_b")
+
+
+def p6_top(spark, d):
+    return _vectors(spark, d).search(F.col("id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p3_found, p3_assignment, p3_shares, p5_found, p5_top, p6_found, p6_top)}
 
 _SEG = sql_seg_id("segset")
 _VALID = f"scoremask and scoremat is not null and not isnan(scoremat) and not isinf(scoremat) and {sql_is_named('modelset')} and {_SEG} is not null"
@@ -73,5 +87,10 @@ cc(id, comp) using key (id) as (
   select u.id, min(v.comp) from recurring.cc as u join b on u.id = b.a join cc as v on b.b = v.id where v.comp < u.comp group by u.id)
 select comp as group_leftid, id as leftid from cc where comp <> id""",
     "p5_found": f"with {_TOP} select score_id from t",
+    "p6_found": """with v as (select vec_id, list_transform(stat1, lambda x: x::double) as x from stat_server where len(stat1) = 64
+  and list_bool_and(list_transform(stat1, lambda x: coalesce(isfinite(x), false))) and list_bool_or(list_transform(stat1, lambda x: x <> 0))),
+p as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.x, b.x) as c from v a, v b where a.vec_id <> b.vec_id),
+t as (select * from p qualify row_number() over (partition by a order by c desc, b) <= 5)
+select distinct least(a, b) as vec_a, greatest(a, b) as vec_b from t where c >= 0.9""",
     "p5_top": f"with {_TOP} select * from t",
 }
