@@ -162,9 +162,8 @@ def left_id_profile(idmap: DataFrame, registry: DataFrame, tasks: int | None = N
 
 def heavy_left_ids(idmap: DataFrame, registry: DataFrame, percent: int = 1, tasks: int | None = None) -> DataFrame:
     """``leftids`` holding at least ``percent`` % of all rows of ``idmap``, rows without a name included."""
-    total = idmap.agg(F.count(F.lit(1)).alias("_total"))
-    profile = left_id_profile(idmap, registry, tasks)
-    return profile.join(F.broadcast(total), F.col("n_rows") * 100 >= F.col("_total") * percent).select("leftids")
+    floor = idmap.count() * percent
+    return left_id_profile(idmap, registry, tasks).where(F.col("n_rows") * 100 >= floor).select("leftids")
 
 
 def load_report(plan: LoadPlan) -> list[tuple[int, int]]:

@@ -49,15 +49,15 @@ f as (select seg_id, 'period' as kind, lo as from_frame, hi as to_frame from p
       union all select * from (select seg_id, 'gap' as kind, hi as from_frame, lead(lo) over (partition by seg_id order by lo) as to_frame from p) where to_frame is not null)
 """
 _REFS = f"""
-refs as (select 'scores' as tbl, score_id as row_id, 'modelset' as field, modelset as key, scored_at as at from scores where {sql_is_named("modelset")}
+refs as (select 'scores' as tbl, score_id as row_id, 'modelset' as field, modelset as key, scored_at as ref_at from scores where {sql_is_named("modelset")}
   union all select 'trial_key', key_id, 'modelset', modelset, keyed_at from trial_key where {sql_is_named("modelset")}
   union all select 'scores', score_id, 'segset', {sql_seg_id("segset")}, scored_at from scores where {sql_seg_id("segset")} is not null
   union all select 'trial_key', key_id, 'segset', {sql_seg_id("segset")}, keyed_at from trial_key where {sql_seg_id("segset")} is not null),
 reg as (select 'modelset' as field, model_id as key, created_at, deleted_at from model_registry union all select 'segset', seg_id, created_at, deleted_at from segment_registry),
-o as (select tbl, row_id, field, at,
-  case when count(reg.key) = 0 then 'missing' when min(created_at) > at then 'late' else 'deleted' end as cause
-  from refs left join reg using (field, key) group by tbl, row_id, field, at
-  having not coalesce(bool_or(created_at <= at and (deleted_at is null or deleted_at > at)), false))
+o as (select tbl, row_id, field, ref_at,
+  case when count(reg.key) = 0 then 'missing' when min(created_at) > ref_at then 'late' else 'deleted' end as cause
+  from refs left join reg using (field, key) group by tbl, row_id, field, ref_at
+  having not coalesce(bool_or(created_at <= ref_at and (deleted_at is null or deleted_at > ref_at)), false))
 """
 SQL = {
     "p2_found": f"select leftids from idmap where {sql_is_named('leftids')} group by 1 having count(*) * 100 >= (select count(*) from idmap)",
@@ -72,5 +72,5 @@ select a.*, coalesce(n, 0)::bigint as n_registered, corpus from (
   coalesce(sum(to_frame - from_frame) filter (kind = 'period'), 0)::bigint as covered, coalesce(sum(to_frame - from_frame) filter (kind = 'gap'), 0)::bigint as uncovered
   from f group by 1""",
     "p7_found": f"with {_REFS} select tbl, row_id, field, cause from o",
-    "p7_report": f"with {_REFS} select tbl, field, cause, strftime(at, '%Y-%m') as month, count(*) as n_orphans from o group by all",
+    "p7_report": f"with {_REFS} select tbl, field, cause, strftime(ref_at, '%Y-%m') as month, count(*) as n_orphans from o group by all",
 }
