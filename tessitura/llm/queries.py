@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessitura.functions.ids import sql_is_named, sql_seg_id
-from tessitura.llm import cutoffs, neighbours, splits, topn
+from tessitura.llm import cutoffs, mixing, neighbours, packing, splits, topn
 from tessitura.plans.tables import table
 
 
@@ -54,7 +54,23 @@ def p6_top(spark, d):
     return _vectors(spark, d).search(F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p3_found, p3_assignment, p3_shares, p5_found, p5_top, p6_found, p6_top)}
+def p8_pack(spark, d):
+    return packing.pack_documents(*_tables(spark, d, "documents", "container_sizes"))
+
+
+def p8_report(spark, d):
+    return packing.pack_report(p8_pack(spark, d), table(spark, d, "container_sizes"))
+
+
+def p9_mixture(spark, d):
+    return mixing.Mixture(*_tables(spark, d, "documents", "mix_targets")).rows
+
+
+def p9_shares(spark, d):
+    return mixing.Mixture(*_tables(spark, d, "documents", "mix_targets")).report()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p3_found, p3_assignment, p3_shares, p5_found, p5_top, p6_found, p6_top, p8_pack, p8_report, p9_mixture, p9_shares)}
 
 _SEG = sql_seg_id("segset")
 _VALID = f"scoremask and scoremat is not null and not isnan(scoremat) and not isinf(scoremat) and {sql_is_named('modelset')} and {_SEG} is not null"

@@ -170,8 +170,8 @@ class GroupedSplits:
         total = sum(s for _, s in self.targets)
         want = spark.createDataFrame([(n, s / total) for n, s in self.targets], "split_name string, target_share double")
         have = self.units.groupBy("split_name").agg(F.sum("size").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"))
-        rows = self.rows.agg(F.count(F.lit(1)).alias("_all"))
-        return want.join(have, "split_name", "left").join(F.broadcast(rows)).select(
+        n = self.rows.count()
+        return want.join(have, "split_name", "left").select(
             "split_name", "target_share", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"),
-            (F.coalesce("n_rows", F.lit(0)) / F.col("_all")).alias("actual_share"),
+            F.try_divide(F.coalesce("n_rows", F.lit(0)), F.lit(n)).alias("actual_share"),
         )
