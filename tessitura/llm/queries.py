@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessitura.functions.ids import sql_is_named, sql_seg_id
-from tessitura.llm import cutoffs, mixing, neighbours, packing, splits, topn
+from tessitura.llm import cutoffs, mixing, neighbours, packing, splits, topn, toxicity
 from tessitura.plans.tables import table
 
 
@@ -70,7 +70,23 @@ def p9_shares(spark, d):
     return mixing.Mixture(*_tables(spark, d, "documents", "mix_targets")).report()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p3_found, p3_assignment, p3_shares, p5_found, p5_top, p6_found, p6_top, p8_pack, p8_report, p9_mixture, p9_shares)}
+def _toxic(spark, d):
+    return toxicity.toxic_documents(*_tables(spark, d, "documents", "doc_labels"))
+
+
+def p10_found(spark, d):
+    return _toxic(spark, d).where("toxic").select("doc_id")
+
+
+def p10_scores(spark, d):
+    return _toxic(spark, d)
+
+
+def p10_rates(spark, d):
+    return toxicity.toxicity_rates(_toxic(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p3_found, p3_assignment, p3_shares, p5_found, p5_top, p6_found, p6_top, p8_pack, p8_report, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
 
 _SEG = sql_seg_id("segset")
 _VALID = f"scoremask and scoremat is not null and not isnan(scoremat) and not isinf(scoremat) and {sql_is_named('modelset')} and {_SEG} is not null"
