@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessitura.plans import general
+from tessitura.plans import general, trial_queries
 
-MODULES = [general]
-FLAGSHIP = "p7_report"
+MODULES = [general, trial_queries]
+FLAGSHIP = "eer_by_source"
 
 
 def queries() -> dict:
