@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.workspace import Workspace
+from tessitura.workspace import Workspace, bounded_sample
 
 #: Vectors that codebooks are fitted on (a bound of the fit only: every vector is encoded and indexed).
 FIT_ROWS = 12_000
@@ -131,7 +131,7 @@ class Neighbours:
         clean = F.transform(F.col(vector_col).cast("array<float>"), lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))
         self.rows = df.where(F.col(id_col).isNotNull() & usable(vector_col, dim)).select(F.col(id_col).cast("long").alias("id"), clean.alias("v"))
         self.n = self.rows.count()
-        sample = self.rows.orderBy(F.xxhash64("id")).limit(FIT_ROWS).toArrow()  # bounded: the fit only
+        sample = bounded_sample(self.rows, "id", FIT_ROWS, self.n).toArrow()
         self.cells = int(min(MAX_CELLS, max(8, 2 ** round(math.log2(max(1, self.n) / CELL_ROWS + 1e-9)))))
         self.quantizer = AdditiveQuantizer.fit(_unit(sample["v"].combine_chunks()), self.cells) if self.n else None
 

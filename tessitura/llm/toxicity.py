@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.workspace import bounded_sample
+
 #: Documents the fit may read: confirmed positives, and unlabelled ones (by the hash of their id).
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 8_000
 #: Characters of all texts that the fit may read (the driver's memory); whole texts, as many as fit.
@@ -327,9 +329,9 @@ def fit(positive: list[str], unlabelled: list[str], confirmed: np.ndarray, prior
     return model
 
 
-def _bounded(df: DataFrame, rows: int, chars: int) -> pa.Table:
-    """Whole rows in the order of their hash, at most ``rows`` and ``chars``."""
-    t = df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow()
+def _bounded(df: DataFrame, chars: int) -> pa.Table:
+    """Whole rows in the order of their hash, at most ``chars`` in all."""
+    t = df.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     total = np.cumsum([len(x) for x in t["text"].to_pylist()])
     return t.slice(0, int(np.searchsorted(total, chars, side="right")))
 
@@ -340,9 +342,10 @@ def train(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     vote = F.when(F.col("label").isin(*TOXIC), 1).when(F.col("label") == "clean", -1)
     confirmed = labels.groupBy("doc_id").agg(F.sum(vote).alias("votes")).where("votes > 0").select("doc_id", F.lit(True).alias("confirmed"))
     texts = documents.where("text is not null and text <> ''").select("doc_id", "text")
-    positive = _bounded(texts.join(confirmed.select("doc_id"), "doc_id", "left_semi"), MAX_POSITIVE, MAX_FIT_CHARS // 2)
-    sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_UNLABELLED)
-    unlabelled = _bounded(sample.join(confirmed, "doc_id", "left").select("doc_id", "text", F.coalesce("confirmed", F.lit(False)).alias("confirmed")), MAX_UNLABELLED, MAX_FIT_CHARS // 2)
+    chosen = bounded_sample(confirmed, "doc_id", MAX_POSITIVE, labels.count())
+    positive = _bounded(texts.join(chosen.select("doc_id"), "doc_id", "left_semi"), MAX_FIT_CHARS // 2)
+    sample = bounded_sample(texts, "doc_id", MAX_UNLABELLED, documents.count())
+    unlabelled = _bounded(sample.join(confirmed, "doc_id", "left").select("doc_id", "text", F.coalesce("confirmed", F.lit(False)).alias("confirmed")), MAX_FIT_CHARS // 2)
     return fit(positive["text"].to_pylist(), unlabelled["text"].to_pylist(), np.asarray(unlabelled["confirmed"].to_pylist(), dtype=bool))
 
 
