@@ -27,7 +27,7 @@ FIT_ROWS = 12_000
 #: Codebooks, codewords of all but the first, beam width, iterations of k-means.
 CODEBOOKS, CODEWORDS, BEAM, ITERATIONS = 6, 128, 3, 6
 #: Vectors per cell aimed at, most cells, cells visited, rows of a block.
-CELL_ROWS, MAX_CELLS, PROBES, BLOCK = 600, 1024, 4, 8192
+CELL_ROWS, MAX_CELLS, PROBES, BLOCK = 600, 1024, 6, 8192
 #: Margin of the quantised cosine below its expected value, in parts of the residual; a pair is lost only if
 #: both of its directions fall below.
 MARGIN = 0.3
