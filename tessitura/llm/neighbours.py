@@ -3,8 +3,8 @@
 A vector is the sum of one codeword from each of M full-dimensional codebooks; codebooks are fitted on the
 residuals of their predecessors and codes are found by beam search over all of them. An index row is M codes
 and the stored norm of their sum, a query scores it by adding M entries of its lookup table. The first
-codebook is also the coarse partition: index rows live in the cell of their first code, and a query visits
-the cells whose codewords are nearest. Candidates are reranked by exact cosine. Cells larger than a block
+codebook is also the coarse partition: a vector lives in the cell of the codeword nearest to it (which need not
+be the code that the beam chose), and a query visits the cells whose codewords are nearest. Candidates are reranked by exact cosine. Cells larger than a block
 are cut into blocks on both sides, so no task holds more than a block of either, whatever a cell holds.
 Exact copies are indexed once and joined back afterwards.
 """
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from tessitura.workspace import Workspace, bounded_sample
 
 #: Vectors that codebooks are fitted on (a bound of the fit only: every vector is encoded and indexed).
-FIT_ROWS = 12_000
+FIT_ROWS = 16_000
 #: Codebooks, codewords of all but the first, beam width, iterations of k-means.
 CODEBOOKS, CODEWORDS, BEAM, ITERATIONS = 6, 128, 3, 6
 #: Vectors per cell aimed at, most cells, cells visited, rows of a block.
-CELL_ROWS, MAX_CELLS, PROBES, BLOCK = 600, 1024, 6, 8192
+CELL_ROWS, MAX_CELLS, PROBES, BLOCK = 1200, 4096, 8, 8192
 #: Margin of the quantised cosine below its expected value, in parts of the residual; a pair is lost only if
 #: both of its directions fall below.
 MARGIN = 0.3
@@ -157,11 +157,12 @@ class Neighbours:
                     sums = aq.decode(codes)
                     norm = np.maximum(np.sqrt((sums**2).sum(1)), 1e-6)
                     n = min(probes, len(c))
-                    near = np.argpartition(half - x @ c.T, n - 1, axis=1)[:, :n].astype(np.int32)
+                    far = half - x @ c.T
+                    near = np.argpartition(far, n - 1, axis=1)[:, :n].astype(np.int32)
                     step = np.abs(x).max(1, keepdims=True) / 127
                     yield pa.RecordBatch.from_arrays(
                         [
-                            part["id"], part["h1"], part["h2"], pa.array(codes[:, 0].astype(np.int32)),
+                            part["id"], part["h1"], part["h2"], pa.array(far.argmin(1).astype(np.int32)),
                             pa.ListArray.from_arrays(np.arange(0, near.size + 1, n, dtype=np.int32), near.ravel()).cast(pa.list_(pa.int32())),
                             _bytes(codes), pa.array(norm), pa.array(((x * sums).sum(1) / norm).astype(np.float32)), _bytes(np.rint(x / step).astype(np.int8)),
                         ],
