@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: dict[str, str] = {}
+
 
 def get_spark(app: str = "tessitura", cores: int | None = None, **conf: str) -> SparkSession:
     """A local session with the settings the operators assume (UTC, AQE, Arrow)."""
@@ -25,3 +31,23 @@ def get_spark(app: str = "tessitura", cores: int | None = None, **conf: str) ->
     spark = SparkSession.builder.master(f"local[{n}]").appName(app).config(map=base).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application: the driver serves it to executors,
+    so neither a working directory nor an installation there is assumed."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("app") == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    d = tempfile.mkdtemp(prefix="tessitura-package-")  # on the driver, which serves it while the application lives
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    at = os.path.join(d, "tessitura_package.zip")
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(at)
+    _SHIPPED["app"] = sc.applicationId
