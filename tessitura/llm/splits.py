@@ -81,19 +81,20 @@ def stratify(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Split of every unit by iterative stratification. ``counts``: rows by (unit, label).
 
     Repeatedly takes the label with the fewest outstanding rows and places the largest unit that has it into
-    the split that still needs most of that label, ties by the need of rows, then by position.
+    the split that still needs most of that label, of rows, and of the unit's other labels, all as parts of what
+    there is; ties by position.
     """
     counts = np.asarray(counts, dtype=np.float64)
     shares = np.asarray(shares, dtype=np.float64) / np.sum(shares)
     need, need_rows = np.outer(shares, counts.sum(0)), shares * counts.sum()
-    size, left, out = counts.sum(1), counts.sum(0), np.full(len(counts), -1)
+    size, total, left, out = counts.sum(1), counts.sum(0), counts.sum(0), np.full(len(counts), -1)
     # a unit that would leave a split far over its share is judged by rows: the giant component is one
     for unit in np.argsort(-size, kind="stable"):
         if size[unit] <= need_rows.sum() * 0.02 or size[unit] == 0:
             break
         s = int(np.argmax(need_rows))
         out[unit], need[s], need_rows[s], left = s, need[s] - counts[unit], need_rows[s] - size[unit], left - counts[unit]
-    queues = {k: [u for u in np.lexsort((np.arange(len(counts)), -counts[:, k])) if counts[u, k] > 0] for k in range(counts.shape[1])}
+    queues = {k: [u for u in np.lexsort((np.arange(len(counts)), -size)) if counts[u, k] > 0] for k in range(counts.shape[1])}
     for q in queues.values():
         q.reverse()
     while (out < 0).any():
@@ -107,7 +108,8 @@ def stratify(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
             left[k] = 0
             continue
         unit = queues[k].pop()
-        s = max(range(len(shares)), key=lambda i: (need[i, k], need_rows[i], -i))
+        worth = need[:, k] / total[k] + need_rows / total.sum() + (need / np.maximum(total, 1)) @ (counts[unit] / size[unit])
+        s = int(np.argmax(worth))
         out[unit], need[s], need_rows[s], left = s, need[s] - counts[unit], need_rows[s] - size[unit], left - counts[unit]
     out[out < 0] = int(np.argmax(shares))
     return out

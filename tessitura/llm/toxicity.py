@@ -34,6 +34,8 @@ PRIOR = 0.03
 #: Largest prior that is believed; clauses of the unlabelled texts that are background in every round.
 MAX_PRIOR, BACKGROUND = 0.2, 60_000
 MIN_PRIOR = 0.01
+#: Quantile of the unlabelled texts' first scores that a positive must reach to be believed.
+BELIEVED = 0.9
 #: Weight of the evidence of words, pairs and triples.
 ORDERS = (1.0, 0.7, 0.35)
 #: Score from which a document counts as toxic: the fit leaves most clauses near 0.02 and is cautious above.
@@ -290,11 +292,16 @@ def fit(positive: list[str], unlabelled: list[str], confirmed: np.ndarray, prior
     held = np.arange(n_pos) % 5 == 4 if n_pos >= 20 else np.zeros(n_pos, dtype=bool)
     starts = unl.clauses()[0]
     pool = np.unique(np.random.default_rng(5).choice(len(starts), min(len(starts), BACKGROUND), replace=False))
+    (fs, first), (us, first_unl) = _worst(pos, guess, True), _worst(unl, guess, True)
+    # positives whose most suspicious clause could be anybody's are left out: wrong labels
+    believed = fs >= min(np.quantile(us, BELIEVED), np.median(fs))
     for r in range(rounds):
         train_on = np.ones(n_pos, dtype=bool) if r == rounds - 1 else ~held
-        (ps, pw), (us, uw) = (_worst(t, guess if r == 0 else model, r == 0) for t in (pos, unl))
-        # positives whose worst clause looks like anybody's are left out of this round
-        sure = train_on & (ps >= min(np.quantile(us, 1 - 2 * model.prior), np.median(ps)))
+        pw, uw = first, first_unl
+        if r:  # positives that the model does not find yet keep their first clause
+            (ms, mw), (_, uw) = _worst(pos, model, False), _worst(unl, model, False)
+            pw = np.where(ms > 0, mw, first)
+        sure = train_on & believed
         pool = np.union1d(pool, uw)
         pr, pc, po = _rows(pos, pw[sure], n)
         ur, uc, uo = _rows(unl, pool, n)
