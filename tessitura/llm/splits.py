@@ -82,7 +82,7 @@ def stratify(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
 
     Repeatedly takes the label with the fewest outstanding rows and places the largest unit that has it into
     the split that still needs most of that label, of rows, and of the unit's other labels, all as parts of what
-    there is; ties by position.
+    it is to get in the end; ties by position. Shares must be positive.
     """
     counts = np.asarray(counts, dtype=np.float64)
     shares = np.asarray(shares, dtype=np.float64) / np.sum(shares)
@@ -108,7 +108,7 @@ def stratify(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
             left[k] = 0
             continue
         unit = queues[k].pop()
-        worth = need[:, k] / total[k] + need_rows / total.sum() + (need / np.maximum(total, 1)) @ (counts[unit] / size[unit])
+        worth = (need[:, k] / total[k] + need_rows / total.sum() + (need / np.maximum(total, 1)) @ (counts[unit] / size[unit])) / shares
         s = int(np.argmax(worth))
         out[unit], need[s], need_rows[s], left = s, need[s] - counts[unit], need_rows[s] - size[unit], left - counts[unit]
     out[out < 0] = int(np.argmax(shares))
