@@ -1 +1 @@
-"""See the module docstrings."""
+"""Signal processing on numpy arrays, and its application to tables of audio."""
