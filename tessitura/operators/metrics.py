@@ -121,7 +121,7 @@ def rocch(roc: DataFrame, by: list[str] | None = None, block: int = 100_000) ->
     points = roc.where(F.col("p_miss").isNotNull() & F.col("p_fa").isNotNull()).select(*cols)
     points = points.withColumn("_block", F.floor((F.col("n_fa") + F.col("n_miss")) / block))
     part = points.groupBy(*by, "_block").applyInPandas(lambda p: hull(p)[cols], schema)
-    return part.groupBy(*(by or [F.lit(1)])).applyInPandas(lambda p: hull(p)[cols], schema)
+    return part.withColumn("_all", F.lit(0)).groupBy(*by, "_all").applyInPandas(lambda p: hull(p)[cols], schema)
 
 
 def eer(hull: DataFrame, by: list[str] | None = None, miss: str = "p_miss", fa: str = "p_fa") -> DataFrame:
