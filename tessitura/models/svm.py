@@ -1,7 +1,7 @@
 """Linear support vector machines, one for every model against a common background.
 
-The dual problem with hinge loss is solved exactly by coordinate descent that keeps the weight vector, so no
-Gram matrix is needed. A task holds one model's sessions and the background list, whose sizes are checked.
+The dual problem with hinge loss is solved to a given gap with the weight vector at hand, so no Gram matrix is
+needed. A task holds one model's sessions and the background list, whose sizes are checked.
 """
 
 from __future__ import annotations
@@ -17,24 +17,32 @@ from tessitura.operators.vectors import matrix
 MAX_BACKGROUND, MAX_SESSIONS = 20_000, 200_000
 
 
-def solve(x: np.ndarray, y: np.ndarray, c: float, tolerance: float = 1e-6, sweeps: int = 2000) -> tuple[np.ndarray, float, np.ndarray]:
-    """(w, b, dual variables) of min 1/2 |w|^2 + 1/2 b^2 / B^2 + c sum hinge, the bias as a coefficient of a constant B."""
-    scale = max(1.0, float(np.sqrt((x**2).sum(1).mean()))) * 10
-    z = np.column_stack([x, np.full(len(x), scale)])
-    w, a, q = np.zeros(z.shape[1]), np.zeros(len(z)), (z**2).sum(1)
-    rng = np.random.default_rng(3)
-    for _ in range(sweeps):
-        worst = 0.0
-        for i in rng.permutation(len(z)):
-            g = y[i] * (z[i] @ w) - 1
-            free = g if 0 < a[i] < c else min(g, 0.0) if a[i] == 0 else max(g, 0.0)
-            if abs(free) > 1e-14:
-                worst = max(worst, abs(free))
-                new = min(max(a[i] - g / q[i], 0.0), c)
-                w += (new - a[i]) * y[i] * z[i]
-                a[i] = new
-        if worst < tolerance:
-            break
+def solve(x: np.ndarray, y: np.ndarray, c: float, gap: float = 1e-4, steps: int = 20_000) -> tuple[np.ndarray, float, np.ndarray]:
+    """(w, b, dual variables) of min 1/2 |(w, b / B)|^2 + c sum hinge, the bias being the weight of a constant B,
+    the root mean square length of the rows.
+
+    Accelerated projected gradient on the dual with restarts, until primal and dual differ by less than ``gap``
+    of the primal; every step is two matrix-vector products.
+    """
+    scale = max(1e-12, float(np.sqrt((x**2).sum(1).mean())))
+    z = np.column_stack([x, np.full(len(x), scale)]) * y[:, None]
+    step = 1 / max(1e-12, float(np.linalg.eigvalsh(z.T @ z)[-1]))
+    a = point = np.zeros(len(z))
+    t, last = 1.0, -np.inf
+    for i in range(steps):
+        new = np.clip(point - step * (z @ (z.T @ point) - 1), 0, c)
+        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        point, a, t = new + (t - 1) / t_new * (new - a), new, t_new
+        if i % 20 == 19:
+            w = z.T @ a
+            dual = a.sum() - 0.5 * w @ w
+            primal = 0.5 * w @ w + c * np.maximum(0, 1 - z @ w).sum()
+            if primal - dual <= gap * primal:
+                break
+            if dual < last:
+                point, t = a, 1.0
+            last = dual
+    w = z.T @ a
     return w[:-1], float(w[-1] * scale), a
 
 

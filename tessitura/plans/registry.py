@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessitura.plans import feature_queries, general, trial_queries
+from tessitura.plans import feature_queries, general, model_queries, trial_queries
 
-MODULES = [general, trial_queries, feature_queries]
+MODULES = [general, trial_queries, feature_queries, model_queries]
 FLAGSHIP = "eer_by_source"
 
 

@@ -192,10 +192,14 @@ def test_svm_is_optimal_and_separates(spark, vectors):
     x = np.vstack([rng.normal(size=(40, 3)) + 2, rng.normal(size=(60, 3)) - 1])
     y = np.repeat([1.0, -1.0], [40, 60])
     w, b, a = svm.solve(x, y, 0.1)
-    primal = 0.5 * w @ w + 0.1 * np.maximum(0, 1 - y * (x @ w + b)).sum()
+    size = np.sqrt((x**2).sum(1).mean())
+
+    def primal(w, b):
+        return 0.5 * (w @ w + (b / size) ** 2) + 0.1 * np.maximum(0, 1 - y * (x @ w + b)).sum()
+
+    assert (a >= 0).all() and (a <= 0.1).all()
     for _ in range(50):
-        w2, b2 = w + rng.normal(size=3) * 0.05, b + rng.normal() * 0.05
-        assert 0.5 * w2 @ w2 + 0.1 * np.maximum(0, 1 - y * (x @ w2 + b2)).sum() > primal - 1e-3
+        assert primal(w + rng.normal(size=3) * 0.05, b + rng.normal() * 0.05) > primal(w, b) * (1 - 1e-3)
     from pyspark.sql import functions as F
     v = vectors.select("model_id", "seg_id", F.col("stat1").alias("v"))
     machines = svm.train(v.where("model_id = 'm2'"), v.where("model_id <> 'm2'"))
