@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.operators.vectors import matrix
+from tessitura.workspace import spread
 
 #: Most background vectors, and most sessions of one model, that a task may hold.
 MAX_BACKGROUND, MAX_SESSIONS = 20_000, 200_000
@@ -63,4 +64,5 @@ def train(enroll: DataFrame, background: DataFrame) -> DataFrame:
         w, b, _ = solve(x, y, 1 / float((x**2).sum(1).mean()))
         return pd.DataFrame({"model_id": pdf["model_id"].iloc[:1], "w": [w.tolist()], "b": [b]})
 
-    return enroll.select("model_id", "v").groupBy("model_id").applyInPandas(run, "model_id string, w array<double>, b double")
+    models = enroll.select("model_id").distinct().count()
+    return spread(enroll.select("model_id", "v"), models, "model_id").groupBy("model_id").applyInPandas(run, "model_id string, w array<double>, b double")

@@ -197,7 +197,9 @@ def _per_chunk(df: DataFrame, left: int, right: int, column: str, f: Callable[[n
         pdf[column] = list(f(x, pdf))
         return pdf[pdf["_own"]][schema.names]
 
-    return with_halo(df, left, right).groupBy("show", "_chunk").applyInPandas(run, schema)
+    # a fixed number of partitions: Python work is heavy for its bytes, by which partitions would be merged
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return with_halo(df, left, right).repartition(n, "show", "_chunk").groupBy("show", "_chunk").applyInPandas(run, schema)
 
 
 def rasta(df: DataFrame, column: str = "cep", warmup: int = 1024) -> DataFrame:
@@ -229,13 +231,19 @@ def gaussianise(df: DataFrame, win: int = 301, column: str = "cep") -> DataFrame
 
     def run(x: np.ndarray, pdf: pd.DataFrame) -> np.ndarray:
         idx, first, last = (pdf[c].to_numpy() for c in ("frame_idx", "_first", "_last"))
+        own = np.flatnonzero(pdf["_own"].to_numpy())
+        if not len(own):
+            return x
+        n = int(last[0] - first[0] + 1)  # a chunk is of one show
+        size = min(win, n)
+        quantile = np.array([inv((k + 0.5) / size) for k in range(size)])
+        lo = np.full(len(own), first[0]) if n < win else np.clip(idx[own] - half, first[0], last[0] - win + 1)
+        at = np.searchsorted(idx, lo)
+        windows = np.lib.stride_tricks.sliding_window_view(x, size, axis=0)  # (start, coefficient, offset)
         y = np.zeros_like(x)
-        for t in np.flatnonzero(pdf["_own"].to_numpy()):
-            n = int(last[t] - first[t] + 1)
-            lo = first[t] if n < win else min(max(idx[t] - half, first[t]), last[t] - win + 1)
-            a = np.searchsorted(idx, lo)
-            w = x[a : a + min(win, n)]
-            y[t] = [inv(p) for p in ((w < x[t]).sum(0) + 0.5) / len(w)]
+        for i in range(0, len(own), 256):
+            t = own[i : i + 256]
+            y[t] = quantile[(windows[at[i : i + 256]] < x[t][:, :, None]).sum(2)]
         return y
 
     return _per_chunk(df.join(bounds(df), "show"), win, win, column, run).drop("_first", "_last")

@@ -63,3 +63,13 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int, total: int) -> DataFra
         part = min(1.0, 1.5 * rows / total + 100 / total)
         df = df.where(F.pmod(h, F.lit(1 << 30)) < int(part * (1 << 30)))
     return df.orderBy(F.pmod(h, F.lit(1 << 30)), h, id_col).limit(rows)
+
+
+def spread(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Hash-partitioned by ``keys`` for Python work on ``groups`` groups, four or so a partition.
+
+    The number is explicit: adaptive execution merges partitions by their bytes, and codes or sizes are few
+    bytes for the work they cause.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(groups, max(most, groups // 4))), *keys)
