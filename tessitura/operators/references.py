@@ -2,44 +2,42 @@
 
 A Bloom filter of the parent keys, broadcast, proves most orphans without a join; only references that the
 filter lets through are verified by an exact anti-join against the registry, and causes are looked up for
-the orphans that remain. The filter is a table of 64-bit blocks (one word per block, built by ``bit_or``),
-so its size is ``blocks`` rows whatever the number of keys: beyond that it lets more references through,
+the orphans that remain. The filter is a table of blocks of four 64-bit words, built by ``bit_or``, so its size
+is at most MAX_BLOCKS rows whatever the number of keys: beyond what they hold it lets more references through,
 which costs time in the exact join but never changes the result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions.ids import bare, seg_id
 
-#: Upper bound of broadcast filter blocks (8 bytes each plus the row).
+#: Upper bound of broadcast filter blocks (32 bytes each plus the row).
 MAX_BLOCKS = 1 << 20
-#: Bits set per key, and keys per 64-bit block that the filter is sized for.
-BITS, KEYS_PER_BLOCK = 4, 5
+#: 64-bit words of a block, in each of which a key sets one bit, and keys that a block is sized for.
+WORDS, KEYS_PER_BLOCK = 4, 20
 
 
 def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long")
 
 
-def _mask(key: Column) -> Column:
-    h = F.xxhash64(F.lit("bloom"), key)
-    one = F.lit(1).cast("long")
-    bits = [F.call_function("shiftleft", one, F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(BITS)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
+def _masks(key: Column) -> list[Column]:
+    """The key's bit in each word."""
+    h, one = F.xxhash64(F.lit("bloom"), key), F.lit(1).cast("long")
+    return [F.call_function("shiftleft", one, F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(WORDS)]
 
 
 def bloom_blocks(parents: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, int]:
-    """Filter table (block, word) over the distinct ``key`` and its number of blocks."""
-    blocks = 1 << max(6, min(MAX_BLOCKS, max(1, n_keys // KEYS_PER_BLOCK)).bit_length())
-    blocks = min(blocks, MAX_BLOCKS)
+    """Filter table (block, words) over ``key`` and its number of blocks."""
+    blocks = min(MAX_BLOCKS, 1 << max(6, (n_keys // KEYS_PER_BLOCK).bit_length()))
     k = F.col(key)
-    return parents.groupBy(_block(k, blocks).alias("_block")).agg(F.bit_or(_mask(k)).alias("_word")), blocks
+    words = [F.bit_or(m).alias(f"_w{i}") for i, m in enumerate(_masks(k))]
+    return parents.groupBy(_block(k, blocks).alias("_block")).agg(*words), blocks
 
 
 def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -54,12 +52,12 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     refs = refs.where(F.col("key").isNotNull())
     n_keys = parents.agg(F.approx_count_distinct("key")).first()[0]
     table, blocks = bloom_blocks(parents, "key", n_keys)
-    mask = _mask(F.col("key"))
+    hit = reduce(Column.__and__, [F.col(f"_w{i}").bitwiseAND(m) != 0 for i, m in enumerate(_masks(F.col("key")))])
     tested = (
         refs.withColumn("_block", _block(F.col("key"), blocks))
         .join(F.broadcast(table), "_block", "left")  # at most MAX_BLOCKS rows
-        .withColumn("_maybe", F.coalesce(F.col("_word").bitwiseAND(mask) == mask, F.lit(False)))
-        .drop("_block", "_word")
+        .withColumn("_maybe", F.coalesce(hit, F.lit(False)))
+        .drop("_block", *[f"_w{i}" for i in range(WORDS)])
     )
     definite = tested.where(~F.col("_maybe")).drop("_maybe").withColumn("cause", F.lit("missing"))
     maybe = tested.where("_maybe").drop("_maybe")
