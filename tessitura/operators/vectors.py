@@ -37,8 +37,14 @@ def subtract(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x - y)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row: inside a higher-order function an expression would be
+    evaluated again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def scale(a: Column | str, by: Column) -> Column:
-    return F.transform(_c(a), lambda x: x * by)
+    return let(by, lambda k: F.transform(_c(a), lambda x: x * k))
 
 
 def length_norm(a: Column | str) -> Column:
@@ -124,13 +130,15 @@ def whiten_cholesky(df: DataFrame, column: str, mean: np.ndarray, sigma: np.ndar
 def log_sum_exp(a: Column | str) -> Column:
     """ln of the sum of exp, shifted by the largest entry; that entry itself if it is not finite."""
     v = _c(a)
-    top = F.array_max(v)
-    s = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.when(F.abs(top) == float("inf"), top).otherwise(top + F.ln(s))
+
+    def total(top: Column) -> Column:
+        s = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+        return F.when(F.abs(top) == float("inf"), top).otherwise(top + F.ln(s))
+
+    return let(F.array_max(v), total)
 
 
 def posteriors(a: Column | str) -> Column:
     """exp of log-likelihoods, normalised to sum 1."""
     v = _c(a)
-    z = log_sum_exp(v)
-    return F.transform(v, lambda x: F.exp(x - z))
+    return let(log_sum_exp(v), lambda z: F.transform(v, lambda x: F.exp(x - z)))

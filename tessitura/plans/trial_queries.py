@@ -185,7 +185,7 @@ def model_index(s, d):
 
 
 def project_mask(s, d):
-    return T.project(V.sessions(s, d), "stat1", "[0-2,7,63]").select("pos", "stat1")
+    return T.project(V.sessions(s, d), "stat1", "[0-2,7,63]").select("pos", F.posexplode("stat1").alias("i", "x"))
 
 
 def validate_idmap(s, d):
@@ -320,7 +320,7 @@ SQL = {
     "sessions_subset": f"with {_SS} select pos, model_id from ss where (model_id, seg_id) in (select (model_id, seg_id) from ss where \"start\" is not null)",
     "sessions_drop_empty": "select vec_id from stat_server where list_sum(list_transform(stat0, lambda x: coalesce(x, 0))) <> 0",
     "model_index": f"with {_SS} select model_id, row_number() over (order by model_id) - 1 as model_idx from (select distinct model_id from ss)",
-    "project_mask": f"with {_SS} select pos, [stat1[1], stat1[2], stat1[3], stat1[8], stat1[64]] as stat1 from ss",
+    "project_mask": f"with {_SS} select pos, unnest(range(5)) as i, unnest([stat1[1], stat1[2], stat1[3], stat1[8], stat1[64]]) as x from ss",
     "validate_idmap": 'select count(*) as n_rows, count(*) filter (leftids is null or rightids is null) as null_ids, count(*) filter (("start" is null) <> (stop is null)) as one_sided, count(*) filter (stop < "start") as reversed from idmap',
     "validate_key": f"with {_KL}, {_BOTH}, p as (select model_id, seg_id, count(distinct is_target) as l from bo group by all) select count(*) as n_rows, count(*) filter (model_id is null or seg_id is null) as null_ids, count(*) filter (l > 1) as conflicts from p",
     "validate_scores": "select count(*) as n_rows, count(*) filter (modelset is null or segset is null) as null_ids, count(*) filter (scoremat is null or isnan(scoremat) or isinf(scoremat)) as not_finite from scores",
