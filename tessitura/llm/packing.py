@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.tokens import with_token_counts
-from tessitura.workspace import Workspace
+from tessitura.workspace import Workspace, spread
 
 #: Items of a shard, on average.
 SHARD_ITEMS = 32_000
@@ -123,7 +123,7 @@ def pack(sizes: DataFrame, containers: DataFrame, ws: Workspace) -> DataFrame:
         )
 
     schema = "container string, doc_id long, piece int, start_token long, n_tokens long, bin string, bin_length long"
-    return full.unionByName(rest.groupBy("container", "shard").applyInArrow(run, schema))
+    return full.unionByName(spread(rest, len(rows) * shards, "container", "shard").groupBy("container", "shard").applyInArrow(run, schema))
 
 
 def pack_documents(documents: DataFrame, containers: DataFrame, path: str | None = None) -> DataFrame:
