@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.workspace import Workspace, bounded_sample
+from tessitura.workspace import Workspace, bounded_sample, spread
 
 #: Vectors that codebooks are fitted on (a bound of the fit only: every vector is encoded and indexed).
 FIT_ROWS = 16_000
@@ -82,8 +82,8 @@ class AdditiveQuantizer:
         return sum(b[codes[:, m]] for m, b in enumerate(self.books))
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
-        """Lookup tables of queries: inner products with all codewords."""
-        return [q @ b.T for b in self.books]
+        """Lookup tables of queries: inner products of all codewords (rows) with all queries."""
+        return [b @ q.T for b in self.books]
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -91,12 +91,12 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i : i + 8192] @ c.T - half).argmax(1) for i in range(0, len(x), 8192)]) if len(x) else np.zeros(0, dtype=np.int64)
 
 
-def lookup_scores(tables: list[np.ndarray], codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """Quantised cosine of every query with every code: table entries added, divided by the stored norm."""
-    out = tables[0].take(codes[:, 0], axis=1)
+def lookup_scores(tables: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """(codes, queries): inner product of every query with every sum of codewords, by adding table rows.
+    Divided by the stored norm it is the quantised cosine."""
+    out = tables[0][codes[:, 0]]
     for m in range(1, len(tables)):
-        out += tables[m].take(codes[:, m], axis=1)
-    out /= norms
+        out += tables[m][codes[:, m]]
     return out
 
 
@@ -128,12 +128,17 @@ class Neighbours:
     def __init__(self, df: DataFrame, id_col: str, vector_col: str, dim: int):
         self.spark, self.dim = df.sparkSession, dim
         self.ws = Workspace(self.spark, "neighbours")
-        clean = F.transform(F.col(vector_col).cast("array<float>"), lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))
-        self.rows = df.where(F.col(id_col).isNotNull() & usable(vector_col, dim)).select(F.col(id_col).cast("long").alias("id"), clean.alias("v"))
-        self.n = self.rows.count()
-        sample = bounded_sample(self.rows, "id", FIT_ROWS, self.n).toArrow()
+        self.raw = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+        self.n = self.raw.count()  # not usable rows included: it only sets sizes
+        sample = bounded_sample(self.raw, "id", FIT_ROWS, self.n).where(usable("v", dim)).toArrow()
         self.cells = int(min(MAX_CELLS, max(8, 2 ** round(math.log2(max(1, self.n) / CELL_ROWS + 1e-9)))))
-        self.quantizer = AdditiveQuantizer.fit(_unit(sample["v"].combine_chunks()), self.cells) if self.n else None
+        self.quantizer = AdditiveQuantizer.fit(_unit(sample["v"].combine_chunks()), self.cells) if sample.num_rows else None
+
+    @property
+    def rows(self) -> DataFrame:
+        """Usable vectors, -0.0 being 0.0."""
+        clean = F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))
+        return self.raw.where(usable("v", self.dim)).withColumn("v", clean)
 
     # -- encoding ---------------------------------------------------------------------------------
 
@@ -183,14 +188,14 @@ class Neighbours:
         for the stored norm, less a margin, are reranked. Exact copies search once.
         """
         empty = self.spark.createDataFrame([], "vec_a long, vec_b long, cosine double")
-        if not self.n:
+        if self.quantizer is None:
             return empty
         enc = self.encoded()
         groups = enc.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
         reps = self.ws.write(enc.join(groups.select("id"), "id", "left_semi").drop("h1", "h2"), "reps")
         found = self.ws.write(self._candidates(reps, min_cosine), "candidates")
         needed = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
-        vectors = self.ws.write(self.rows.join(needed, "id", "left_semi"), "vectors")
+        vectors = self.ws.write(self.raw.join(needed, "id", "left_semi"), "vectors")  # candidates are usable
         cosine = _cosine(F.col("va"), F.col("vb"))
         va = vectors.select(F.col("id").alias("a"), F.col("v").alias("va"))
         vb = vectors.select(F.col("id").alias("b"), F.col("v").alias("vb"))
@@ -248,30 +253,32 @@ class Neighbours:
                 codes = np.frombuffer(b"".join(x["codes"].to_pylist()), dtype=np.int16).reshape(len(xid), -1)
                 rho = x["rho"].to_numpy()
                 floor = min_cosine * rho - side * np.sqrt(np.maximum(0, 1 - rho**2)) - 0.02
+                floor = (floor * x["norm"].to_numpy())[:, None].astype(np.float32)
                 vec = np.frombuffer(b"".join(q["q"].to_pylist()), dtype=np.int8).reshape(len(qid), dim).astype(np.float32)
                 vec /= np.sqrt((vec**2).sum(1, keepdims=True))
-                for i in range(0, len(qid), 512):
-                    s = lookup_scores(aq.tables(vec[i : i + 512]), codes, x["norm"].to_numpy())
+                for i in range(0, len(qid), 128):
+                    s = lookup_scores(aq.tables(vec[i : i + 128]), codes)
                     r, c = np.nonzero(s >= floor)
-                    a, b = qid[i + r], xid[c]
+                    a, b = xid[r], qid[i + c]
                     out.append((np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]))
             a = np.concatenate([o[0] for o in out]) if out else np.zeros(0, dtype=np.int64)
             b = np.concatenate([o[1] for o in out]) if out else np.zeros(0, dtype=np.int64)
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        blocks = index.unionByName(query).groupBy("c", "xs", "qs")
+        groups = sum(a * b for a, b in zip(nx, nq))
+        blocks = spread(index.unionByName(query), groups, "c", "xs", "qs").groupBy("c", "xs", "qs")
         return blocks.applyInArrow(scan, "a long, b long").distinct()
 
     # -- a stated query set against all -----------------------------------------------------------
 
-    def search(self, is_query: Column, k: int = 5, rerank: int = 256) -> DataFrame:
+    def search(self, is_query: Column, k: int = 5, rerank: int = 512) -> DataFrame:
         """(vec_id, neighbour, cosine, rank): the ``k`` most similar other vectors of every query row.
 
         The queries visit every block of the index: codes are scored by lookup, the best ``rerank`` of each
         block are reranked exactly there, so what a block returns is exact among them.
         """
         schema = "vec_id long, neighbour long, cosine double"
-        if not self.n:
+        if self.quantizer is None:
             return self.spark.createDataFrame([], schema + ", rank int")
         blocks = _shards(self.n)
         index = self.rows.select("id", "v", F.lit(False).alias("is_q"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
@@ -290,7 +297,7 @@ class Neighbours:
                 codes = np.concatenate([aq.encode(x[i : i + 2048].astype(np.float32)) for i in range(0, len(x), 2048)])
                 norm = np.maximum(np.sqrt((aq.decode(codes) ** 2).sum(1)), 1e-6)
                 for i in range(0, len(q), 512):
-                    s = lookup_scores(aq.tables(q[i : i + 512].astype(np.float32)), codes, norm)
+                    s = (lookup_scores(aq.tables(q[i : i + 512].astype(np.float32)), codes) / norm[:, None]).T
                     keep = min(rerank + 1, len(x))
                     edge = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
                     for j in range(len(s)):
@@ -303,7 +310,7 @@ class Neighbours:
             a, b, c = (list(z) for z in zip(*out)) if out else ([], [], [])
             return pa.table({"vec_id": pa.array(a, pa.int64()), "neighbour": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
 
-        near = index.unionByName(query).groupBy("block").applyInArrow(scan, schema)
+        near = spread(index.unionByName(query), blocks, "block").groupBy("block").applyInArrow(scan, schema)
         rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("cosine").desc(), "neighbour"))
         return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
