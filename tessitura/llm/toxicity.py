@@ -36,10 +36,13 @@ MAX_PRIOR, BACKGROUND = 0.2, 60_000
 MIN_PRIOR = 0.01
 #: Quantile of the unlabelled texts' first scores that a positive must reach to be believed.
 BELIEVED = 0.9
+#: Folds of positives, each left out of one of the first rounds; afterwards a positive is believed if the model
+#: that had not seen it gave it more than DOUBT (log-odds), or its first score reaches the quantile STRONG.
+FOLDS, DOUBT, STRONG = 3, -2.5, 0.995
 #: Weight of the evidence of words, pairs and triples.
 ORDERS = (1.0, 0.7, 0.35)
 #: Score from which a document counts as toxic: the fit leaves most clauses near 0.02 and is cautious above.
-THRESHOLD = 0.25
+THRESHOLD = 0.15
 #: Labels that confirm a case.
 TOXIC = ("abusive", "hateful", "sexual")
 
@@ -270,8 +273,8 @@ def fit(positive: list[str], unlabelled: list[str], confirmed: np.ndarray, prior
     """Fit by non-negative PU learning over the worst clause of every text.
 
     ``confirmed`` marks the unlabelled texts that are among the confirmed ones. The share of the other texts
-    that the model finds, over its recall of positives held out of all rounds but the last, gives the class
-    prior of the next round.
+    that the model finds, over its recall of the positives held out of the round, gives the class prior of the next
+    round.
     Without positives or unlabelled texts nothing is found toxic.
     """
     df = Counter()
@@ -289,19 +292,22 @@ def fit(positive: list[str], unlabelled: list[str], confirmed: np.ndarray, prior
     pos, unl = Tokens.of(positive, vocabulary), Tokens.of(unlabelled, vocabulary)
     guess = ToxicityModel(vocabulary, _log_odds(pos, unl, n), 0.0, prior)
     n_pos, n_unl = len(positive), len(unlabelled)
-    held = np.arange(n_pos) % 5 == 4 if n_pos >= 20 else np.zeros(n_pos, dtype=bool)
+    fold = np.arange(n_pos) % FOLDS if n_pos >= 20 else np.full(n_pos, -1)
+    unseen = np.full(n_pos, np.inf)  # score by a model that was not fitted on the text
     starts = unl.clauses()[0]
     pool = np.unique(np.random.default_rng(5).choice(len(starts), min(len(starts), BACKGROUND), replace=False))
     (fs, first), (us, first_unl) = _worst(pos, guess, True), _worst(unl, guess, True)
     # positives whose most suspicious clause could be anybody's are left out: wrong labels
     believed = fs >= min(np.quantile(us, BELIEVED), np.median(fs))
     for r in range(rounds):
-        train_on = np.ones(n_pos, dtype=bool) if r == rounds - 1 else ~held
+        held = (fold == r) if r < FOLDS else np.zeros(n_pos, dtype=bool)
+        if r == FOLDS:  # nor are those that the rest of the positives gives no support
+            believed &= (unseen > DOUBT) | (fs >= np.quantile(us, STRONG))
         pw, uw = first, first_unl
         if r:  # positives that the model does not find yet keep their first clause
             (ms, mw), (_, uw) = _worst(pos, model, False), _worst(unl, model, False)
             pw = np.where(ms > 0, mw, first)
-        sure = train_on & believed
+        sure = believed & ~held
         pool = np.union1d(pool, uw)
         pr, pc, po = _rows(pos, pw[sure], n)
         ur, uc, uo = _rows(unl, pool, n)
@@ -327,8 +333,9 @@ def fit(positive: list[str], unlabelled: list[str], confirmed: np.ndarray, prior
         w[-1] = 0
         model.weights, model.bias = w, float(b)
         model.history.append(float(loss))
-        if held.any() and r < rounds - 1:
-            recall = max(0.1, float((_worst(pos, model, False)[0][held] > 0).mean()))
+        if held.any():
+            unseen[held] = _worst(pos, model, False)[0][held]
+            recall = max(0.1, float((unseen[held] > 0).mean()))
             others = float((_worst(unl, model, False)[0][~confirmed] > 0).mean()) if (~confirmed).any() else 0.0
             known = float(confirmed.mean())
             model.prior = float(np.clip(known + (1 - known) * others / recall, max(known, MIN_PRIOR), MAX_PRIOR))
