@@ -136,7 +136,7 @@ def pack_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per container: documents, pieces, bins, tokens, and the used share of full capacity and of bin lengths."""
     bins = packed.groupBy("container", "bin").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max("bin_length").alias("length"))
     out = bins.groupBy("container").agg(F.count(F.lit(1)).alias("n_bins"), F.sum("pieces").alias("n_pieces"), F.sum("n").alias("n_tokens"), F.sum("length").alias("length"))
-    return out.join(containers, "container").select(
+    return out.join(containers.select("container", "capacity_tokens"), "container").select(
         "container", "capacity_tokens", "n_bins", "n_pieces", "n_tokens",
         (F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens"))).alias("used_of_capacity"), (F.col("n_tokens") / F.col("length")).alias("used_of_length"),
     )
