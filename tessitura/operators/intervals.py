@@ -42,8 +42,8 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, stop: str, width: i
     """(entity, kind, from_frame, to_frame) of every entity with at least two different existing intervals.
 
     Overlapping, nested and touching intervals make one 'period'; a 'gap' lies between two consecutive
-    periods. Null entities and intervals that do not exist are ignored, repeats count once, bounds may be
-    any non-negative long. Columns other than the three named are not looked at.
+    periods. Null entities and intervals that do not exist are ignored, repeats count once. Bounds are frame
+    numbers below 2^31, so an entity has at most 2^31 / ``width`` shards. Other columns are not looked at.
     """
     e, shard = F.col(entity).alias("e"), lambda x: F.floor(x / width)
     base = (

@@ -17,3 +17,13 @@ def spark():
 
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+CLASHING = "_task _shard _n _key _w0 _block _maybe _first part n rank seg_id t k e lo hi block shard n_tokens id v unit group label confirmed cause key at size bin position source leftid score".split()
+
+
+def clash(df):
+    """The table with further columns that have names the operators might use inside."""
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.lit("clash") for c in CLASHING if c not in df.columns})

@@ -5,7 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import rows
+from conftest import clash, rows
 
 from tessitura.operators import intervals, references, skew
 
@@ -163,3 +163,23 @@ def test_orphan_references_and_report(spark):
     assert got == sorted([("scores", 3, "modelset", "late"), ("scores", 4, "modelset", "deleted"), ("trial_key", 7, "segset", "missing")], key=repr)
     report = rows(references.orphan_report(scores, key, models, segs))
     assert ("scores", "modelset", "deleted", "2021-03", 1) in report and len(report) == 3
+
+
+def test_clashing_columns_change_nothing(spark):
+    data = random_idmap(200, 8)
+    df = spark.createDataFrame(data, IDMAP)
+    reg = spark.createDataFrame([("hot", "tel", None, None)], "model_id string, corpus string, created_at timestamp, deleted_at timestamp")
+    assert rows(skew.left_id_profile(clash(df), clash(reg), 3)) == rows(skew.left_id_profile(df, reg, 3))
+    assert rows(intervals.segment_periods(clash(df), 8)) == rows(intervals.segment_periods(df, 8))
+    scores = spark.createDataFrame([(1, "m", "S.WAV", T(5)), (2, "x", "s", T(5))], "score_id long, modelset string, segset string, scored_at timestamp")
+    key = spark.createDataFrame([(7, "m", "nope", T(2))], "key_id long, modelset string, segset string, keyed_at timestamp")
+    models = spark.createDataFrame([("m", T(0), None)], "model_id string, created_at timestamp, deleted_at timestamp")
+    segs = spark.createDataFrame([("s", T(0), None)], "seg_id string, created_at timestamp, deleted_at timestamp")
+    plain = references.orphan_references(scores, key, models, segs)
+    assert rows(references.orphan_references(*[clash(x) for x in (scores, key, models, segs)])) == rows(plain) and plain.count() == 2
+
+
+def test_one_interval_over_all_frames(spark):
+    top = 2**31 - 1
+    data = [(1, None, "a", "s", 0, top), (2, None, "b", "s", 5, 9), (3, None, "a", "t", 0, 3), (4, None, "a", "t", top - 1, top)]
+    assert rows(intervals.segment_periods(spark.createDataFrame(data, IDMAP))) == brute_periods(data)
