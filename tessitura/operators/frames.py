@@ -252,10 +252,10 @@ def gaussianise(df: DataFrame, win: int = 301, column: str = "cep") -> DataFrame
 # -- speech activity ------------------------------------------------------------------------------
 
 
-def vad_percentile(df: DataFrame, percent: float, column: str = "energy") -> DataFrame:
-    """Adds ``vad``: energy above the given percentile of its show."""
-    cut = df.groupBy("show").agg(F.percentile(column, F.lit(percent / 100)).alias("_cut"))
-    return df.join(cut, "show").withColumn("vad", F.col(column) > F.col("_cut")).drop("_cut")
+def vad_percentile(df: DataFrame, percent: float, column: str = "energy", by: str = "show") -> DataFrame:
+    """Adds ``vad``: energy above the given percentile of its show, or of another group such as the speaker."""
+    cut = df.groupBy(by).agg(F.percentile(column, F.lit(percent / 100)).alias("_cut"))
+    return df.join(cut, by).withColumn("vad", F.col(column) > F.col("_cut")).drop("_cut")
 
 
 def vad_energy(df: DataFrame, column: str = "energy", components: int = 3, iterations: int = 8, floor: float = 1e-4, ceiling: float = 1.0, alpha: float = 2.0, bins: int = 4096) -> DataFrame:

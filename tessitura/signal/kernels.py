@@ -38,12 +38,14 @@ def bark_to_hz(z: np.ndarray | float) -> np.ndarray:
 
 
 def frame_signal(x: np.ndarray, size: int, shift: int, pad: str = "none") -> np.ndarray:
-    """(frames, size): full frames every ``shift`` samples; with pad='zeros' or 'edge' a last partial one too."""
+    """(frames, size): full frames every ``shift`` samples; with pad='zeros', 'edge' or 'wrap' a last partial one
+    too, filled with zeros, the last sample or the beginning of the signal."""
     x = np.asarray(x)
     if pad != "none" and len(x):
         n = max(0, -(-(len(x) - size) // shift))
         short = max(0, n * shift + size - len(x))
-        x = np.concatenate([x, np.zeros(short) if pad == "zeros" else np.full(short, x[-1])])
+        fill = {"zeros": lambda: np.zeros(short), "edge": lambda: np.full(short, x[-1]), "wrap": lambda: np.resize(x, short)}
+        x = np.concatenate([x, fill[pad]()])
     if len(x) < size:
         return np.zeros((0, size))
     return np.lib.stride_tricks.sliding_window_view(x, size)[::shift]

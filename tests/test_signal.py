@@ -27,6 +27,7 @@ def test_framing_and_emphasis():
     assert K.frame_signal(x, 4, 2).tolist() == [[0, 1, 2, 3], [2, 3, 4, 5], [4, 5, 6, 7], [6, 7, 8, 9]]
     assert K.frame_signal(x, 4, 3, "zeros")[-1].tolist() == [6, 7, 8, 9]
     assert K.frame_signal(x, 4, 4, "edge")[-1].tolist() == [8, 9, 9, 9]
+    assert K.frame_signal(x, 4, 4, "wrap")[-1].tolist() == [8, 9, 0, 1]
     assert K.frame_signal(x[:3], 4, 2).shape == (0, 4)
     assert np.allclose(K.emphasize(x, 0.5), np.concatenate([[0], x[1:] - 0.5 * x[:-1]]))
 
