@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
+import io
 import os
-import shutil
-import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
+from tessitura.workspace import shared_root
+
 _SHIPPED: dict[str, str] = {}
 
 
@@ -34,20 +34,22 @@ def get_spark(app: str = "tessitura", cores: int | None = None, **conf: str) ->
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application: the driver serves it to executors,
-    so neither a working directory nor an installation there is assumed."""
+    """Make this package importable in Python workers, once per application: an archive in the shared folder, so
+    neither a working directory nor an installation on the executors is assumed."""
     sc = spark.sparkContext
     if _SHIPPED.get("app") == sc.applicationId:
         return
-    root = os.path.dirname(os.path.abspath(__file__))
-    d = tempfile.mkdtemp(prefix="tessitura-package-")  # on the driver, which serves it while the application lives
-    atexit.register(shutil.rmtree, d, ignore_errors=True)
-    at = os.path.join(d, "tessitura_package.zip")
-    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+    root, archive = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(root):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    at = f"{shared_root(spark)}/package-{sc.applicationId}/tessitura_package.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
     sc.addPyFile(at)
     _SHIPPED["app"] = sc.applicationId

@@ -10,7 +10,7 @@ from tessitura.session import get_spark, ship_package  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_spark("tests", 4, **{"spark.driver.memory": "4g", "spark.sql.shuffle.partitions": "4", "spark.sql.adaptive.coalescePartitions.enabled": "true"})
+    s = get_spark("tests", 4, **{"spark.driver.memory": "4g", "spark.sql.shuffle.partitions": "4", "spark.sql.adaptive.coalescePartitions.enabled": "false"})
     ship_package(s)
     yield s
 
