@@ -1,21 +1,29 @@
 """Linear support vector machines, one for every model against a common background.
 
 The dual problem with hinge loss is solved to a given gap with the weight vector at hand, so no Gram matrix is
-needed. A task holds one model's sessions and the background list, whose sizes are checked.
+needed. A task holds one model's sessions and the background list. Where either is too large for that, the primal is
+solved to the same gap from sums over blocks of both, added across tasks, so neither has a size limit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessitura.operators.vectors import matrix
-from tessitura.workspace import spread
+from tessitura.models.accumulate import unpack_symmetric
+from tessitura.operators.vectors import dot, matrix
+from tessitura.workspace import Workspace, spread
 
-#: Most background vectors, and most sessions of one model, that a task may hold.
+#: Most background vectors, and most sessions of one model, that a task holds; beyond either, sums over blocks are used.
 MAX_BACKGROUND, MAX_SESSIONS = 20_000, 200_000
+#: Models solved together from sums, and vectors in a block: both bound memory only.
+GROUP, BLOCK = 512, 1024
 
 
 def solve(x: np.ndarray, y: np.ndarray, c: float, gap: float = 1e-4, steps: int = 20_000) -> tuple[np.ndarray, float, np.ndarray]:
@@ -47,14 +55,135 @@ def solve(x: np.ndarray, y: np.ndarray, c: float, gap: float = 1e-4, steps: int
     return w[:-1], float(w[-1] * scale), a
 
 
+def _block_sums(x: np.ndarray, q: np.ndarray, y: float, mu: np.ndarray) -> np.ndarray:
+    """By weights ``q``: hinge loss, the loss mu ln(1 + exp(t / mu)) that smooths it, sum of its slopes, y times the rows
+    summed with the slopes, and the packed outer products summed with its curvature times mu. The last column of ``x`` is one."""
+    t = 1 - y * (q @ x.T)
+    e = np.exp(-np.abs(t) / mu[:, None])
+    a = np.where(t > 0, 1, e) / (1 + e)
+    hinge = np.maximum(t, 0).sum(1)
+    i, j = np.triu_indices(x.shape[1])
+    return np.column_stack([hinge, hinge + mu * np.log1p(e).sum(1), a.sum(1), y * (a @ x), (a * (1 - a)) @ (x[:, i] * x[:, j])])
+
+
+def _sums(rows: DataFrame, at: dict, q: np.ndarray, mu: np.ndarray) -> np.ndarray:
+    """:func:`_block_sums` over all (own, model_id, v) of the weights in ``q``; ``at`` is the row of ``q`` by model."""
+    k, d = q.shape
+    width = 3 + d + d * (d + 1) // 2
+    shared = rows.sparkSession.sparkContext.broadcast((at, q, mu))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_, q_, mu_ = shared.value
+        total = np.zeros((k, width))
+        for b in batches:
+            for s in range(0, b.num_rows, BLOCK):
+                p = b.slice(s, BLOCK)
+                x = np.column_stack([matrix(p["v"]), np.ones(p.num_rows)])
+                own = np.asarray(p["own"].to_pylist(), dtype=bool)
+                if not own.all():
+                    total += _block_sums(x[~own], q_, -1.0, mu_)
+                if own.any():
+                    kind = np.array([at_.get(m, -1) if o else -1 for m, o in zip(p["model_id"].to_pylist(), own)])
+                    for g in np.unique(kind[kind >= 0]):
+                        total[g] += _block_sums(x[kind == g], q_[g : g + 1], 1.0, mu_[g : g + 1])[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int64()), pa.array([r.tobytes() for r in total], pa.binary())], ["g", "x"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for g, x in zip(b["g"].to_pylist(), b["x"].to_pylist()):
+                total[g] = total.get(g, 0) + np.frombuffer(x)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([r.tobytes() for r in total.values()], pa.binary())], ["g", "x"])
+
+    out = np.zeros((k, width))
+    schema = "g long, x binary"
+    for r in rows.mapInArrow(part, schema).repartition("g").mapInArrow(add, schema).collect():
+        out[r.g] = np.frombuffer(r.x)
+    shared.unpersist()
+    return out
+
+
+def solve_sums(sums: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], d: int, c: np.ndarray, scale: np.ndarray, gap: float = 1e-4, passes: int = 1000) -> np.ndarray:
+    """Rows (w, b) of the problems of :func:`solve`, each with its own ``c`` and bias ``scale``.
+
+    Newton steps on a smoothed hinge loss that comes nearer to it. The slopes of the smoothed loss are feasible
+    dual variables over c, so the gap of the unsmoothed problem is known exactly; ``sums(which, q, mu)`` is one pass over all
+    vectors for the problems not solved yet.
+    """
+    k = len(c)
+    unit = np.column_stack([np.ones((k, d)), scale])
+    u, way, step = np.zeros((k, d + 1)), np.zeros((k, d + 1)), np.ones(k)
+    f, slope, mu = np.full(k, np.inf), np.zeros(k), np.ones(k)
+    open_ = np.arange(k)
+    for _ in range(passes):
+        o, at = open_, u[open_] + step[open_, None] * way[open_]
+        s = sums(o, at * unit[o], mu[o])
+        half = 0.5 * (at**2).sum(1)
+        smooth, primal = half + c[o] * s[:, 1], half + c[o] * s[:, 0]
+        za = c[o, None] * s[:, 3 : 4 + d] * unit[o]
+        left = primal - (c[o] * s[:, 2] - 0.5 * (za**2).sum(1))
+        done = left <= gap * primal
+        taken = done | (smooth <= f[o] - 1e-4 * step[o] * slope[o] + 1e-12 * np.abs(smooth))
+        step[o[~taken]] /= 2
+        t = o[taken]
+        u[t], f[t], step[t] = at[taken], smooth[taken], 1.0
+        g = at[taken] - za[taken]
+        h = unpack_symmetric(s[taken, 4 + d :], d + 1) * unit[t, :, None] * unit[t, None, :]
+        way[t] = -np.linalg.solve(np.eye(d + 1) + (c[t] / mu[t])[:, None, None] * h, g[:, :, None])[:, :, 0]
+        slope[t] = -(g * way[t]).sum(1)
+        narrow = t[0.5 * (g**2).sum(1) <= 0.3 * left[taken]]  # what is left of the gap comes from the smoothing
+        mu[narrow], f[narrow] = mu[narrow] / 4, np.inf
+        open_ = o[~done]
+        if not len(open_):
+            return np.column_stack([u[:, :d], u[:, d] * scale])
+    raise RuntimeError(f"{len(open_)} machines are not solved after {passes} passes")
+
+
+def _train_from_sums(enroll: DataFrame, background: DataFrame, n_models: int) -> DataFrame:
+    """Machines of ``enroll``'s models in groups; a pass reads the group's sessions and the background, and the driver holds a group's sums."""
+    spark, ws = enroll.sparkSession, Workspace(enroll.sparkSession, "svm")
+    groups = -(-n_models // GROUP)
+    group = F.pmod(F.xxhash64("model_id"), F.lit(groups)).cast("int")
+    own = enroll.select(group.alias("g"), F.lit(True).alias("own"), "model_id", "v")
+    own = ws.write(own.repartitionByRange("g", F.xxhash64("v")).sortWithinPartitions("g"), "own")
+    neg = ws.write(background.select(F.lit(False).alias("own"), F.lit(None).cast(enroll.schema["model_id"].dataType).alias("model_id"), "v"), "background")
+    size = (F.count(F.lit(1)).alias("n"), F.sum(dot("v", "v")).alias("ss"))
+    n_neg, ss_neg = neg.agg(*size).first()
+    sizes = ws.write(own.groupBy("g", "model_id").agg(*size), "sizes")
+    schema = enroll.select("model_id").schema.add("w", T.ArrayType(T.DoubleType())).add("b", T.DoubleType())
+    d = len(own.select("v").first()[0])
+    for k in range(groups):
+        models = sizes.where(F.col("g") == k).collect()
+        if not models:
+            continue
+        mean_square = np.array([(m.ss + (ss_neg or 0.0)) / (m.n + n_neg) for m in models])
+        rows = own.where(F.col("g") == k).drop("g").unionByName(neg)
+
+        def sums(which: np.ndarray, q: np.ndarray, mu: np.ndarray, models=models, rows=rows) -> np.ndarray:
+            return _sums(rows, {models[m].model_id: i for i, m in enumerate(which)}, q, mu)
+
+        out = solve_sums(sums, d, 1 / mean_square, np.maximum(1e-12, np.sqrt(mean_square)))
+        ws.write(spark.createDataFrame([(m.model_id, r[:-1].tolist(), float(r[-1])) for m, r in zip(models, out)], schema), f"machines/{k}")
+    ws.drop("own")
+    ws.drop("background")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{ws.path}/machines")
+
+
 def train(enroll: DataFrame, background: DataFrame) -> DataFrame:
     """(model_id, w, b) by model from (model_id, v) and a background list (v); c is 1 over the mean squared length."""
-    large = enroll.groupBy("model_id").count().where(F.col("count") > MAX_SESSIONS).limit(1).collect()
-    if large:
-        raise ValueError(f"model {large[0].model_id} has more than {MAX_SESSIONS} sessions")
-    rows = background.select("v").limit(MAX_BACKGROUND + 1).toArrow()
+    enroll, background = enroll.select("model_id", "v"), background.select("v")
+    sizes = enroll.groupBy("model_id").count()
+    large = sizes.where(F.col("count") > MAX_SESSIONS).select("model_id")
+    models = sizes.count()
+    rows = background.limit(MAX_BACKGROUND + 1).toArrow()
     if rows.num_rows > MAX_BACKGROUND:
-        raise ValueError(f"the background list is larger than {MAX_BACKGROUND} vectors")
+        return _train_from_sums(enroll, background, models)
+    n_large = large.count()
+    from_sums = None
+    if n_large:
+        from_sums = _train_from_sums(enroll.join(large, "model_id", "left_semi"), background, n_large)
+        enroll = enroll.join(large, "model_id", "left_anti")
     shared = enroll.sparkSession.sparkContext.broadcast(matrix(rows["v"]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -64,5 +193,5 @@ def train(enroll: DataFrame, background: DataFrame) -> DataFrame:
         w, b, _ = solve(x, y, 1 / float((x**2).sum(1).mean()))
         return pd.DataFrame({"model_id": pdf["model_id"].iloc[:1], "w": [w.tolist()], "b": [b]})
 
-    models = enroll.select("model_id").distinct().count()
-    return spread(enroll.select("model_id", "v"), models, "model_id").groupBy("model_id").applyInPandas(run, "model_id string, w array<double>, b double")
+    out = spread(enroll, models, "model_id").groupBy("model_id").applyInPandas(run, "model_id string, w array<double>, b double")
+    return out if from_sums is None else out.unionByName(from_sums)

@@ -209,6 +209,35 @@ def test_svm_is_optimal_and_separates(spark, vectors):
     assert got[own]["score"].mean() > got[~own]["score"].mean() + 0.5
 
 
+def test_svm_without_size_limits(spark, vectors, monkeypatch):
+    from pyspark.sql import functions as F
+
+    v = vectors.select("model_id", F.col("stat1").alias("v"))
+    background = v.where("model_id >= 'm4'").select("v")
+    neg = np.array([r.v for r in background.collect()])
+    own = {k: np.array([r[3] for r in planted() if r[0] == k]) for k in ("m0", "m3")}
+    own["m3"] = own["m3"][own["m3"][:, 0] > 0]
+    few = v.where("model_id = 'm0' or model_id = 'm3' and v[0] > 0")
+
+    def check(machines):
+        assert sorted(r.model_id for r in machines) == ["m0", "m3"]
+        for r in machines:
+            x, y = np.vstack([neg, own[r.model_id]]), np.repeat([-1.0, 1.0], [len(neg), len(own[r.model_id])])
+            size = (x**2).sum(1).mean()
+            w, b, _ = svm.solve(x, y, 1 / size, 1e-7)
+
+            def primal(w, b):
+                return 0.5 * (w @ w + b**2 / size) + np.maximum(0, 1 - y * (x @ w + b)).sum() / size
+
+            assert primal(np.array(r.w), r.b) <= primal(w, b) * (1 + 1.1e-4)
+
+    monkeypatch.setattr(svm, "MAX_BACKGROUND", 100)
+    check(svm.train(few, background).collect())
+    monkeypatch.setattr(svm, "MAX_BACKGROUND", 20_000)
+    monkeypatch.setattr(svm, "MAX_SESSIONS", 39)
+    check(svm.train(few, background).collect())
+
+
 def test_joint_factor_analysis(spark):
     df, m, t = sessions(spark, n=200)
     model = factors.joint_factor_analysis(df, m, 2, 1, True, (6, 3, 3))
