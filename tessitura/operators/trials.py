@@ -5,6 +5,7 @@ Where the order of a list decides (first or last match), the list carries a posi
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -104,9 +105,9 @@ def merge_keys(*parts: DataFrame, check: bool = True) -> DataFrame:
 # -- scores ---------------------------------------------------------------------------------------
 
 
-def repeated_scores(*parts: DataFrame) -> DataFrame:
-    """Trials scored more than once."""
-    return reduce(DataFrame.unionByName, parts).groupBy(*TRIAL).count().where("count > 1").select(*TRIAL)
+def repeated_scores(*parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Trials scored more than once, within groups of ``by`` (null is a group)."""
+    return reduce(DataFrame.unionByName, parts).groupBy(*by, *TRIAL).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*by, *TRIAL)
 
 
 def merge_scores(*parts: DataFrame, check: bool = True) -> DataFrame:

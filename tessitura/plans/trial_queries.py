@@ -126,6 +126,11 @@ def scores_repeated(s, d):
     return T.repeated_scores(V.score_rows(s, d).where("source = 'plda_tel'").select(*TRIAL, "score"))
 
 
+def scores_repeated_by_source(s, d):
+    """Trials delivered again by the same source, over all sources; null is one."""
+    return T.repeated_scores(V.score_rows(s, d).select("source", *TRIAL, "score"), by=["source"])
+
+
 def scores_merge(s, d):
     rows = V.score_rows(s, d).select("source", *TRIAL, "score")
     return T.merge_scores(rows.where("source = 'plda_tel'"), rows.where("source = 'gmm_llr'"), check=False)
@@ -259,7 +264,7 @@ QUERIES = {
     for f in (
         idmap_map_left_to_right, idmap_map_right_to_left, idmap_filter_left, idmap_filter_right, idmap_merge, idmap_split, list_round_robin,
         ndx_distinct, ndx_filter_keep, ndx_filter_discard, ndx_merge, key_last_label, key_to_ndx, key_filter_keep, key_conflicts, key_merge,
-        scores_align, scores_missing, scores_fill, scores_tar_non, scores_repeated, scores_merge, scores_filter_discard, scores_sort, scores_get,
+        scores_align, scores_missing, scores_fill, scores_tar_non, scores_repeated, scores_repeated_by_source, scores_merge, scores_filter_discard, scores_sort, scores_get,
         ids_difference, ids_member, trials_prune, sessions_align, sessions_merge, sessions_load_known, sessions_subset, sessions_drop_empty,
         model_index, project_mask, validate_idmap, validate_key, validate_scores, validate_stats,
         roc_points, roc_steps, min_dcf, eer_by_source, prbep_by_source, rocch_vertices, det_curve, rule_of_30, effective_prior, closed_set_llr, evaluations,
@@ -307,6 +312,7 @@ SQL = {
     "scores_fill": f"with {_SC}, {_K}, b as (select model_id, seg_id, max(score) as score from sc group by all) select model_id, seg_id, coalesce(score, -100.0) as score from ky left join b using (model_id, seg_id)",
     "scores_tar_non": f"with {_LAB} select score_id, score, is_target from la",
     "scores_repeated": f"with {_SC} select model_id, seg_id from sc where source = 'plda_tel' group by all having count(*) > 1",
+    "scores_repeated_by_source": f"with {_SC} select source, model_id, seg_id from sc group by all having count(*) > 1",
     "scores_merge": f"with {_SC} select source, model_id, seg_id, score from sc where source in ('plda_tel', 'gmm_llr')",
     "scores_filter_discard": f"with {_SC}, {_M}, {_S} select score_id from sc where model_id not in (select model_id from md) and seg_id not in (select seg_id from sg)",
     "scores_sort": f"with {_SC} select score_id, model_id, seg_id, score from sc",

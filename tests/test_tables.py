@@ -244,3 +244,14 @@ def test_streams(spark, tmp_path):
     assert np.allclose([r.y for r in sorted(y, key=lambda r: r.frame_idx)], want)
     S.append_batches(read(), f"{p}/out", f"{p}/ck").awaitTermination(120)
     assert spark.read.parquet(f"{p}/out").count() == 43
+
+
+def test_repeated_scores_of_every_source(spark, tmp_path):
+    from tessitura.plans import trial_queries as Q
+
+    seg = "tel_zz0000f1_a"
+    data = [("x", "a"), ("x", "a"), ("x", "b"), ("y", "b"), ("y", "c"), ("y", "c"), (None, "a"), (None, "a"), (None, "c")]
+    df = spark.createDataFrame([(i, src, f"spk_{m}", seg, float(i), True) for i, (src, m) in enumerate(data)], "score_id long, source string, modelset string, segset string, scoremat double, scoremask boolean")
+    df.write.parquet(f"{tmp_path}/scores.parquet")
+    got = Q.QUERIES["scores_repeated_by_source"](spark, str(tmp_path))
+    assert rows(got.select("source", "model_id")) == sorted([("x", "spk_a"), ("y", "spk_c"), (None, "spk_a")], key=repr)
