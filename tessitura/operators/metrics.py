@@ -194,17 +194,29 @@ def filter_roc(p_miss: np.ndarray, p_fa: np.ndarray) -> tuple[np.ndarray, np.nda
 # -- likelihood ratios and evaluation -------------------------------------------------------------
 
 
-def closed_set_llr(scores: DataFrame, p_target: float = 0.5) -> DataFrame:
-    """Log-likelihood ratio of every class against the others of the same segment.
+def closed_set_llr(scores: DataFrame, p_target: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """Log-likelihood ratio of every class against the others of the same segment, within groups of ``by``.
 
-    ln p + s_i - ln sum over j != i of exp(s_j) (1 - p) / (n - 1), stable by the segment's largest score.
+    ln p + s_i - ln sum over j != i of exp(s_j) (1 - p) / (n - 1). The others of a single best class are summed
+    apart, by the largest of them: as a difference from the whole they would vanish beside it.
     A segment with one class has a null ratio.
     """
-    seg = scores.groupBy("seg_id").agg(F.max("score").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    shifted = scores.join(seg, "seg_id").withColumn("_e", F.exp(F.col("score") - F.col("_m")))
-    sums = shifted.groupBy("seg_id").agg(F.sum("_e").alias("_s"))
-    others = F.when(F.col("_s") - F.col("_e") > 0, F.ln((F.col("_s") - F.col("_e")) * (1 - p_target) / (F.col("_n") - 1)))
-    return shifted.join(sums, "seg_id").select("model_id", "seg_id", (math.log(p_target) + F.col("score") - F.col("_m") - others).alias("llr"))
+    by = by or []
+    keys = [*by, "seg_id"]
+
+    def joined(df: DataFrame, sums: DataFrame) -> DataFrame:
+        sums = sums.withColumnsRenamed({c: f"_by_{c}" for c in keys})
+        on = [df[c].eqNullSafe(sums[f"_by_{c}"]) for c in by] + [df["seg_id"] == sums["_by_seg_id"]]
+        return df.join(sums, on).drop(*[f"_by_{c}" for c in keys])
+
+    score, m, m2 = F.col("score"), F.col("_m"), F.col("_m2")
+    x = joined(scores, scores.groupBy(*keys).agg(F.max("score").alias("_m"), F.count(F.lit(1)).alias("_n")))
+    x = joined(x, x.groupBy(*keys).agg(F.max(F.when(score < m, score)).alias("_m2"), F.count_if(score == m).alias("_k")))
+    x = joined(x, x.groupBy(*keys).agg(F.sum(F.when(score < m, F.exp(score - m2))).alias("_s")))
+    lower = F.coalesce(F.col("_s") * F.exp(m2 - m), F.lit(0.0))
+    others = F.when(score < m, m + F.ln(F.col("_k") + lower - F.exp(score - m))).when(F.col("_k") > 1, m + F.ln(F.col("_k") - 1 + lower)).otherwise(m2 + F.ln("_s"))
+    ratio = F.when(F.col("_n") > 1, math.log(p_target) + score - others - F.ln((1 - p_target) / (F.col("_n") - 1)))
+    return x.select(*by, "model_id", "seg_id", ratio.alias("llr"))
 
 
 def evaluations(df: DataFrame, truth: str, predicted: str) -> DataFrame:

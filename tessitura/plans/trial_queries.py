@@ -255,6 +255,11 @@ def closed_set_llr(s, d):
     return M.closed_set_llr(best).select(*TRIAL, F.round("llr", 6).alias("llr"))
 
 
+def closed_set_llr_by_source(s, d):
+    best = V.score_rows(s, d).groupBy("source", *TRIAL).agg(F.max("score").alias("score"))
+    return M.closed_set_llr(best, by=["source"]).select("source", *TRIAL, F.round("llr", 6).alias("llr"))
+
+
 def evaluations(s, d):
     return M.evaluations(_labelled(s, d).withColumn("y", F.col("is_target").cast("double")).withColumn("p", (F.col("score") > 0).cast("double")), "y", "p").select(*[F.round(c, 6).alias(c) for c in ("accuracy", "mse", "scc")])
 
@@ -267,7 +272,7 @@ QUERIES = {
         scores_align, scores_missing, scores_fill, scores_tar_non, scores_repeated, scores_repeated_by_source, scores_merge, scores_filter_discard, scores_sort, scores_get,
         ids_difference, ids_member, trials_prune, sessions_align, sessions_merge, sessions_load_known, sessions_subset, sessions_drop_empty,
         model_index, project_mask, validate_idmap, validate_key, validate_scores, validate_stats,
-        roc_points, roc_steps, min_dcf, eer_by_source, prbep_by_source, rocch_vertices, det_curve, rule_of_30, effective_prior, closed_set_llr, evaluations,
+        roc_points, roc_steps, min_dcf, eer_by_source, prbep_by_source, rocch_vertices, det_curve, rule_of_30, effective_prior, closed_set_llr, closed_set_llr_by_source, evaluations,
     )
 }
 
@@ -341,5 +346,9 @@ SQL = {
     "closed_set_llr": f"""with {_SC}, b as (select model_id, seg_id, max(score) as score from sc where source = 'cosine_xvec' group by all),
  e as (select *, exp(score) as e, count(*) over (partition by seg_id) as n, sum(exp(score)) over (partition by seg_id) as s from b)
  select model_id, seg_id, round(case when n > 1 then ln(0.5) + score - ln((s - e) * 0.5 / (n - 1)) end, 6) as llr from e""",
+    "closed_set_llr_by_source": f"""with {_SC}, b as (select source, model_id, seg_id, max(score) as score from sc group by all),
+ o as (select a.source, a.model_id, a.seg_id, a.score, list(x.score) as v from b a join b x on a.source is not distinct from x.source and a.seg_id = x.seg_id and a.model_id <> x.model_id group by all)
+ select b.source, b.model_id, b.seg_id, round(ln(0.5) + b.score - list_max(v) - ln(list_sum(list_transform(v, lambda y: exp(y - list_max(v)))) * 0.5 / len(v)), 6) as llr
+ from b left join o on b.source is not distinct from o.source and b.model_id = o.model_id and b.seg_id = o.seg_id""",
     "evaluations": f"with {_LAB}, y as (select is_target::int::double as y, (score > 0)::int::double as p from la) select round(100 * avg((y = p)::int), 6) as accuracy, round(avg((y - p) ** 2), 6) as mse, round(corr(y, p) ** 2, 6) as scc from y",
 }

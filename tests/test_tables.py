@@ -255,3 +255,19 @@ def test_repeated_scores_of_every_source(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/scores.parquet")
     got = Q.QUERIES["scores_repeated_by_source"](spark, str(tmp_path))
     assert rows(got.select("source", "model_id")) == sorted([("x", "spk_a"), ("y", "spk_c"), (None, "spk_a")], key=repr)
+
+
+def test_closed_set_ratios_of_every_source(spark, tmp_path):
+    from tessitura.plans import trial_queries as Q
+
+    rng, seg = np.random.default_rng(0), "tel_zz0000f1_a"
+    sets = {"x": rng.normal(size=4), "y": np.array([90.0, -80.0, -81.0]), "tied": np.array([2.0, 2.0, -60.0]), None: np.array([800.0, 1.0]), "one": np.array([1.0])}
+    data = [(f"{i}", src, f"spk_{i}", seg, float(v), True) for src, x in sets.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame([(*r[1:], r[0]) for r in data], "source string, modelset string, segset string, scoremat double, scoremask boolean, score_id string")
+    df.write.parquet(f"{tmp_path}/scores.parquet")
+    got = {(r.source, r.model_id): r.llr for r in Q.QUERIES["closed_set_llr_by_source"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(data) and got.pop(("one", "spk_0")) is None
+    for (src, model), llr in got.items():
+        x, i = sets[src], int(model[4:])
+        others = np.delete(x, i)
+        assert abs(llr - (np.log(0.5) + x[i] - np.logaddexp.reduce(others) - np.log(0.5 / len(others)))) < 1e-6
