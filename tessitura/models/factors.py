@@ -254,10 +254,42 @@ def joint_factor_analysis(stats: DataFrame, m: Mixture, rank_v: int, rank_u: int
     return FactorModel(np.zeros(m.super_size), F=v, G=u, H=d)
 
 
+def hidden(n: np.ndarray, f: np.ndarray, model: FactorModel, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, x, z): joint posterior means of the speaker, channel and diagonal factors of every row, for whitened ``f``.
+    Parts the model lacks have no columns."""
+    loadings = np.column_stack([t for t in (model.F, model.G) if t is not None])
+    r = 0 if model.F is None else model.F.shape[1]
+    if model.H is None:
+        h, _ = posterior(n, f, loadings, c)
+        return h[:, :r], h[:, r:], np.zeros((len(n), 0))
+    counts = np.repeat(n, f.shape[1] // c, axis=1)
+    left = 1 / (1 + counts * model.H**2)  # share of every statistic that z does not take up
+    precision = np.stack([np.eye(loadings.shape[1]) + (loadings * w[:, None]).T @ loadings for w in counts * left])
+    h = np.linalg.solve(precision, ((f * left) @ loadings)[:, :, None])[:, :, 0]
+    return h[:, :r], h[:, r:], left * model.H * (f - counts * (h @ loadings.T))
+
+
+def _speaker_offsets(stats: DataFrame, m: Mixture, model: FactorModel) -> DataFrame:
+    """(model_id, offset): V y + D z of every model in the space of means, y and z estimated jointly with the channel x."""
+    shared = stats.sparkSession.sparkContext.broadcast((model, m))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model_, m_ = shared.value
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                p = b.slice(i, 256)
+                n = matrix(p["stat0"])
+                y, _, z = hidden(n, whitened(n, matrix(p["stat1"]), m_), model_, m_.n)
+                offset = y @ model_.F.T if model_.H is None else y @ model_.F.T + z * model_.H
+                yield pa.RecordBatch.from_arrays([p["model_id"], lists(offset * np.sqrt(m_.cov).ravel())], ["model_id", "offset"])
+
+    return stats.select("model_id", "stat0", "stat1").mapInArrow(run, "model_id string, offset array<double>")
+
+
 def jfa_sides(enroll: DataFrame, test: DataFrame, m: Mixture, model: FactorModel) -> tuple[DataFrame, DataFrame]:
-    """((model_id, v), (seg_id, v, n)) for linear scoring: the model's offset V y divided by the covariance, and the test's
-    centred statistics without its channel offset."""
-    models = _offsets(sum_per_model(enroll).select("model_id", "stat0", "stat1"), "model_id", m, model.F)
+    """((model_id, v), (seg_id, v, n)) for linear scoring: the model's offset V y + D z divided by the covariance, and the
+    test's centred statistics without its channel offset."""
+    models = _speaker_offsets(sum_per_model(enroll), m, model)
     precision = F.array(*[F.lit(float(x)) for x in (1 / m.cov).ravel()])
     e = models.select("model_id", F.zip_with("offset", precision, lambda o, p: o * p).alias("v"))
     t = test.select("seg_id", "stat0", "stat1")

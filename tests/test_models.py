@@ -248,3 +248,34 @@ def test_joint_factor_analysis(spark):
     trials = spark.createDataFrame([("m3", "s12"), ("m3", "s80"), ("m9", "s36"), ("m9", "s120")], "model_id string, seg_id string")
     got = {(r.model_id, r.seg_id): r.score for r in scoring.jfa(trials, e, te).collect()}
     assert got[("m3", "s12")] + got[("m9", "s36")] > got[("m3", "s80")] + got[("m9", "s120")]
+
+
+@pytest.mark.parametrize("parts", ["vud", "vu", "vd", "v"])
+def test_jfa_scores_equal_the_dense_formula(spark, parts):
+    df, m, _ = sessions(spark, n=24)
+    rng, sv = np.random.default_rng(5), m.super_size
+    v, u, d = rng.normal(size=(sv, 2)), rng.normal(size=(sv, 1)) * 0.7, rng.uniform(0.2, 1.0, sv)
+    model = factors.FactorModel(np.zeros(sv), F=v, G=u if "u" in parts else None, H=d if "d" in parts else None)
+    data = df.collect()
+    scale, mu = np.sqrt(m.cov).ravel(), m.mu.ravel()
+
+    def dense(n, f, loadings):
+        return np.linalg.solve(np.eye(loadings.shape[1]) + loadings.T @ np.diag(n) @ loadings, loadings.T @ f)
+
+    def white(rows):
+        n = np.repeat(np.sum([r.stat0 for r in rows], axis=0), m.dim)
+        return n, (np.sum([r.stat1 for r in rows], axis=0) - n * mu) / scale
+
+    e, te = factors.jfa_sides(df, df, m, model)
+    trials = df.select("model_id").distinct().crossJoin(df.select("seg_id"))
+    got = {(r.model_id, r.seg_id): r.score for r in scoring.jfa(trials, e, te).collect()}
+    assert len(got) == 6 * 24
+    for model_id in ("m0", "m4"):
+        n, f = white([r for r in data if r.model_id == model_id])
+        h = dense(n, f, np.column_stack([v] + [u] * ("u" in parts) + [np.diag(d)] * ("d" in parts)))
+        offset = v @ h[:2] + (d * h[-sv:] if "d" in parts else 0)
+        for r in data[::5]:
+            n, f = white([r])
+            if "u" in parts:
+                f = f - n * (u @ dense(n, f, u))
+            assert abs(got[(model_id, r.seg_id)] - offset @ f / np.sum(r.stat0)) < 1e-9
