@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from tessitura.workspace import Workspace
 HEAVY = 0.25
 #: Hash buckets of light keys per task.
 BUCKETS = 16
+#: A join key with more than 1 / PARTS of all rows is hot and is cut into shards of that size: at most PARTS keys are.
+PARTS = 2000
 
 
 @dataclass(frozen=True)
@@ -87,10 +90,14 @@ class FragmentReplicate:
         schema = "_key string, _shard int, _task int, _n int"
         self.shards = spark.createDataFrame(plan.shards, schema)
         self.heads = spark.createDataFrame([(k, n) for k, i, _, n in plan.shards if i == 0], "_key string, _n int")
-        self.light = F.array(*[F.lit(t) for t in plan.buckets])
+        # tasks * BUCKETS numbers: a broadcast table, as literals they would swell the plan of every stage
+        self.light = spark.createDataFrame(pd.DataFrame({"_b": range(len(plan.buckets)), "_light": plan.buckets}), "_b int, _light int")
 
-    def _bucket_task(self) -> Column:
-        return F.get(self.light, F.pmod(F.xxhash64(self.key), F.lit(len(self.plan.buckets))).cast("int"))
+    def _with_task(self, df: DataFrame) -> DataFrame:
+        """``_task`` of rows that have none yet: that of the bucket of their key."""
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(len(self.plan.buckets))).cast("int")
+        out = df.withColumn("_bucket", bucket).join(F.broadcast(self.light), F.col("_bucket") == F.col("_b"), "left")
+        return out.withColumn("_task", F.coalesce("_task", "_light")).drop("_bucket", "_b", "_light")
 
     def fragment(self, df: DataFrame, within: str) -> DataFrame:
         """The large side: every row goes to one shard of its key, by the hash of ``within``, so that equal
@@ -99,22 +106,14 @@ class FragmentReplicate:
         shard = F.coalesce(F.pmod(F.xxhash64(F.lit("shard"), within), F.col("_n")), F.lit(0)).cast("int")
         out = df.join(heads, df[self.key] == heads["_key"], "left").withColumn("_shard", shard).drop("_key", "_n")
         task = shards.select(F.col("_key"), F.col("_shard").alias("_s"), F.col("_task"))
-        return (
-            out.join(task, (out[self.key] == task["_key"]) & (out["_shard"] == task["_s"]), "left")
-            .withColumn("_task", F.coalesce("_task", self._bucket_task()))
-            .drop("_key", "_s")
-            .repartitionById(self.plan.tasks, F.col("_task"))
-        )
+        placed = out.join(task, (out[self.key] == task["_key"]) & (out["_shard"] == task["_s"]), "left").drop("_key", "_s")
+        return self._with_task(placed).repartitionById(self.plan.tasks, F.col("_task"))
 
     def replicate(self, df: DataFrame) -> DataFrame:
         """The matching side: a row goes to every shard of a heavy key, and once for a light one."""
         shards = F.broadcast(self.shards.select("_key", "_shard", "_task"))
-        return (
-            df.join(shards, df[self.key] == shards["_key"], "left")
-            .withColumns({"_task": F.coalesce("_task", self._bucket_task()), "_shard": F.coalesce("_shard", F.lit(0))})
-            .drop("_key")
-            .repartitionById(self.plan.tasks, F.col("_task"))
-        )
+        placed = df.join(shards, df[self.key] == shards["_key"], "left").withColumn("_shard", F.coalesce("_shard", F.lit(0))).drop("_key")
+        return self._with_task(placed).repartitionById(self.plan.tasks, F.col("_task"))
 
 
 def left_id_profile(idmap: DataFrame, registry: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -171,3 +170,28 @@ def load_report(plan: LoadPlan) -> list[tuple[int, int]]:
     return list(enumerate(plan.loads))
 
 
+# -- joins whose keys may be hot ------------------------------------------------------------------
+
+
+def hot_keys(df: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """(_hot_key, _hot_cut): keys that hold more than 1 / PARTS of ``n_rows`` rows, and their number of shards. At most PARTS
+    rows, whatever the data, so it may be broadcast. Null is no key."""
+    n = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot_key")).agg(F.count(F.lit(1)).alias("_n"))
+    return n.where(F.col("_n") * PARTS > n_rows).select("_hot_key", F.ceil(F.col("_n") * PARTS / F.lit(max(1, n_rows))).cast("int").alias("_hot_cut"))
+
+
+def split_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread: list[str | Column], how: str = "left", where: Column | None = None) -> DataFrame:
+    """``big`` joined with ``small`` on the column ``key`` of both, hot keys cut into shards.
+
+    A row of ``big`` goes to a shard of its key by the hash of ``spread``; rows of ``small`` are repeated for every
+    shard of their key, which is one for all but at most PARTS keys. Rows of ``big`` without a key match nothing, and
+    are spread as well. ``where`` is a further condition on columns whose names only one side has. Other columns
+    of both sides must have different names; ``hot`` comes from :func:`hot_keys`.
+    """
+    hot = F.broadcast(hot)  # at most PARTS rows
+    cut = F.coalesce(F.col("_hot_cut"), F.when(F.col(key).isNull(), F.lit(PARTS)).otherwise(F.lit(1)))
+    left = big.join(hot, big[key] == hot["_hot_key"], "left").withColumn("_hot_salt", F.pmod(F.xxhash64(F.lit("salt"), *spread), cut).cast("int")).drop("_hot_key", "_hot_cut")
+    right = small.where(F.col(key).isNotNull()).withColumnRenamed(key, "_hot_own")
+    right = right.join(hot, right["_hot_own"] == hot["_hot_key"], "left").withColumn("_hot_shard", F.explode(F.sequence(F.lit(0), F.coalesce("_hot_cut", F.lit(1)) - 1))).drop("_hot_key", "_hot_cut")
+    on = (F.col(key) == F.col("_hot_own")) & (F.col("_hot_salt") == F.col("_hot_shard"))
+    return left.join(right, on if where is None else on & where, how).drop("_hot_salt", "_hot_own", "_hot_shard")

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 from conftest import clash, rows
+from pyspark.sql import functions as F
 
 from tessitura.operators import intervals, references, skew
 
@@ -183,3 +184,29 @@ def test_one_interval_over_all_frames(spark):
     top = 2**31 - 1
     data = [(1, None, "a", "s", 0, top), (2, None, "b", "s", 5, 9), (3, None, "a", "t", 0, 3), (4, None, "a", "t", top - 1, top)]
     assert rows(intervals.segment_periods(spark.createDataFrame(data, IDMAP))) == brute_periods(data)
+
+
+def test_split_join_is_the_plain_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "PARTS", 12)
+    r = random.Random(9)
+    big = spark.createDataFrame([(i, r.choice(["hot"] * 5 + [None] * 3 + [f"k{r.randrange(40)}"] * 4), i % 7) for i in range(600)], "id long, key string, at long")
+    small = spark.createDataFrame([("hot", 3, "a"), ("hot", 9, "b"), *[(f"k{i}", i % 9, "c") for i in range(0, 60, 2)], (None, 1, "d")], "key string, since long, v string")
+    hot = skew.hot_keys(big, "key", 600)
+    assert [x._hot_key for x in hot.collect()] == ["hot"] and hot.first()._hot_cut > 1
+    where = F.col("since") <= F.col("at")
+    for how in ("left", "inner", "left_anti", "left_semi"):
+        got = skew.split_join(big, small, "key", hot, ["id"], how, where)
+        want = big.join(small.withColumnRenamed("key", "other"), (F.col("key") == F.col("other")) & where, how).drop("other")
+        assert rows(got.select(*want.columns)) == rows(want)
+    placed = skew.split_join(big, small, "key", hot, ["id"]).where("key = 'hot'")
+    assert placed.count() == 2 * big.where("key = 'hot'").count()
+    assert skew.split_join(big.limit(0), small, "key", skew.hot_keys(big.limit(0), "key", 0), ["id"]).count() == 0
+
+
+def test_filter_that_would_not_prune_is_left_out(spark, monkeypatch):
+    assert references.passes(1 << 20, 1 << 20) < 0.01 and references.passes(80 << 20, 1 << 20) > references.USELESS
+    p = spark.createDataFrame([("a", T(0), None)], "key string, created_at timestamp, deleted_at timestamp")
+    q = spark.createDataFrame([(1, "a", T(3)), (2, "b", T(3)), (3, None, T(3)), (4, "a", None)], "id long, key string, at timestamp")
+    want = rows(references.orphans(q, p).select("id", "cause"))
+    monkeypatch.setattr(references, "USELESS", -1.0)
+    assert rows(references.orphans(q, p).select("id", "cause")) == want == [(2, "missing"), (4, "deleted")]
