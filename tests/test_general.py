@@ -204,7 +204,7 @@ def test_split_join_is_the_plain_join(spark, monkeypatch):
 
 
 def test_filter_that_would_not_prune_is_left_out(spark, monkeypatch):
-    assert references.passes(1 << 20, 1 << 20) < 0.01 and references.passes(80 << 20, 1 << 20) > references.USELESS
+    assert references.passes(1 << 20, 1 << 20) < 0.01 and references.passes(200 << 20, 1 << 20) > references.USELESS
     p = spark.createDataFrame([("a", T(0), None)], "key string, created_at timestamp, deleted_at timestamp")
     q = spark.createDataFrame([(1, "a", T(3)), (2, "b", T(3)), (3, None, T(3)), (4, "a", None)], "id long, key string, at timestamp")
     want = rows(references.orphans(q, p).select("id", "cause"))
