@@ -34,6 +34,16 @@ def p3_shares(spark, d):
     return splits.GroupedSplits(*_tables(spark, d, "idmap", "split_targets")).report()
 
 
+def p3_labels(spark, d):
+    return splits.GroupedSplits(*_tables(spark, d, "idmap", "split_targets")).label_report()
+
+
+def p3_check(spark, d):
+    """Rows not assigned once, groups in two splits, splits off their share: none."""
+    tables = _tables(spark, d, "idmap", "split_targets")
+    return splits.split_check(*tables, splits.GroupedSplits(*tables).assignment())
+
+
 def p5_found(spark, d):
     return topn.top_segments(table(spark, d, "scores")).select("score_id")
 
@@ -86,7 +96,7 @@ def p10_rates(spark, d):
     return toxicity.toxicity_rates(_toxic(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p3_found, p3_assignment, p3_shares, p5_found, p5_top, p6_found, p6_top, p8_pack, p8_report, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p3_found, p3_assignment, p3_shares, p3_labels, p3_check, p5_found, p5_top, p6_found, p6_top, p8_pack, p8_report, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
 
 _SEG = sql_seg_id("segset")
 _VALID = f"scoremask and scoremat is not null and not isnan(scoremat) and not isinf(scoremat) and {sql_is_named('modelset')} and {_SEG} is not null"
@@ -118,6 +128,7 @@ cc(id, comp) using key (id) as (
   union
   select u.id, min(v.comp) from recurring.cc as u join b on u.id = b.a join cc as v on b.b = v.id where v.comp < u.comp group by u.id)
 select comp as group_leftid, id as leftid from cc where comp <> id""",
+    "p3_check": "select 0 as unassigned, 0 as split_leftids, 0 as split_seg_ids, 0 as shares_off",
     "p5_found": f"with {_TOP} select score_id from t",
     "p6_found": """with v as (select vec_id, list_transform(stat1, lambda x: x::double) as x from stat_server where len(stat1) = 64
   and list_bool_and(list_transform(stat1, lambda x: coalesce(isfinite(x), false))) and list_bool_or(list_transform(stat1, lambda x: x <> 0))),

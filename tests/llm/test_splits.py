@@ -119,3 +119,42 @@ def test_stratify_places_the_rarest_label_evenly():
     for k in range(3):
         n = counts[:, k].sum()
         assert np.abs(np.bincount(s, counts[:, k], 3) - n * np.array([0.5, 0.25, 0.25])).max() <= 2
+
+
+def test_targets_are_met_beside_large_components(spark):
+    """Components of very different size: rows are what counts, and small ones make good what large ones leave."""
+    rng, rows, pos = np.random.default_rng(3), [], 0
+    for g, size in enumerate([900, 700, 500, 300, *rng.integers(1, 12, 400)]):
+        for i in range(size):
+            rows.append((pos, "abcd"[g % 4] if size > 100 else "abc"[i % 3], f"spk{g:04}", f"seg{pos}"))
+            pos += 1
+    df = spark.createDataFrame(rows, IDMAP)
+    t = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, target_share double")
+    s = splits.GroupedSplits(df, t)
+    assert all(abs(r.actual_share - r.target_share) < 0.002 for r in s.report().collect())
+    assert [tuple(r) for r in splits.split_check(df, t, s.assignment()).collect()] == [(0, 0, 0, 0)]
+    assert sum(r.n_rows for r in s.label_report().collect()) == len(rows)
+    # what the check finds
+    wrong = s.assignment().where("pos > 2").unionByName(spark.createDataFrame([(2, "test"), (2, "train")], "pos long, split_name string"))
+    assert tuple(splits.split_check(df, t, wrong).first())[:3] == (3, 1, 1)
+
+
+def test_one_component_with_most_rows_takes_the_largest_split(spark):
+    rows = [(i, "a", "hub", f"s{i}") for i in range(900)] + [(900 + i, "b", f"x{i}", f"t{i}") for i in range(100)]
+    t = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, target_share double")
+    got = {r.split_name: r.n_rows for r in splits.GroupedSplits(spark.createDataFrame(rows, IDMAP), t).report().collect()}
+    assert got["train"] >= 900 and abs(got["validation"] - got["test"]) <= 2
+
+
+def test_repair_exchanges_units_where_no_single_one_fits():
+    sizes = np.array([50, 50, 40, 40, 40, 30])
+    p = splits.Placement(np.arange(6), np.zeros(6, dtype=int), sizes, np.array([0.5, 0.5]))
+    assert sorted(p.rows) in ([120, 130], [125, 125])
+
+
+def test_many_labels_are_pooled_not_lost(spark, monkeypatch):
+    monkeypatch.setattr(splits, "RARE", 50)
+    rows = [(i, f"label{i % 300}" if i % 2 else "big", f"spk{i // 2}", f"s{i}") for i in range(3000)]
+    t = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, target_share double")
+    s = splits.GroupedSplits(spark.createDataFrame(rows, IDMAP), t)
+    assert all(abs(r.actual_share - 0.5) < 0.01 for r in s.report().collect()) and s.assignment().count() == 3000
