@@ -64,6 +64,12 @@ def p6_top(spark, d):
     return _vectors(spark, d).search(F.col("id") % 100 == 0)
 
 
+def p6_recall(spark, d):
+    """Queries of p6_top, true neighbours wanted, and whether at least nine tenths of them are found."""
+    r = neighbours.search_recall(table(spark, d, "stat_server"), "vec_id", "stat1", 64, F.col("id") % 100 == 0)
+    return r.select("n_queries", "n_wanted", (F.col("n_found") >= 0.9 * F.col("n_wanted")).alias("found_enough"))
+
+
 def p8_pack(spark, d):
     return packing.pack_documents(*_tables(spark, d, "documents", "container_sizes"))
 
@@ -96,7 +102,7 @@ def p10_rates(spark, d):
     return toxicity.toxicity_rates(_toxic(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p3_found, p3_assignment, p3_shares, p3_labels, p3_check, p5_found, p5_top, p6_found, p6_top, p8_pack, p8_report, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p3_found, p3_assignment, p3_shares, p3_labels, p3_check, p5_found, p5_top, p6_found, p6_top, p6_recall, p8_pack, p8_report, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
 
 _SEG = sql_seg_id("segset")
 _VALID = f"scoremask and scoremat is not null and not isnan(scoremat) and not isinf(scoremat) and {sql_is_named('modelset')} and {_SEG} is not null"
@@ -135,5 +141,8 @@ select comp as group_leftid, id as leftid from cc where comp <> id""",
 p as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.x, b.x) as c from v a, v b where a.vec_id <> b.vec_id),
 t as (select * from p qualify row_number() over (partition by a order by c desc, b) <= 5)
 select distinct least(a, b) as vec_a, greatest(a, b) as vec_b from t where c >= 0.9""",
+    "p6_recall": """with v as (select vec_id from stat_server where len(stat1) = 64 and vec_id is not null
+  and list_bool_and(list_transform(stat1, lambda x: coalesce(isfinite(x), false))) and list_bool_or(list_transform(stat1, lambda x: x <> 0)))
+select count(*) as n_queries, (count(*) * least(5, (select count(*) - 1 from v)))::bigint as n_wanted, true as found_enough from v where vec_id % 100 = 0""",
     "p5_top": f"with {_TOP} select * from t",
 }

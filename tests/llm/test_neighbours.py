@@ -76,3 +76,42 @@ def test_beam_search_is_no_worse_than_greedy_and_scores_are_lookups():
     codes = aq.encode(x)
     sums = aq.decode(codes)
     assert np.allclose(N.lookup_scores(aq.tables(x[:5]), codes), sums @ x[:5].T, atol=1e-5)
+
+
+def test_levels_grow_with_the_rows(spark, monkeypatch):
+    """Cells of 20 rows and books of 8 codewords: three levels, the same pairs."""
+    x = vectors(2400)
+    want, _ = brute(x, 5, 0.9)
+    monkeypatch.setattr(N, "CELL_ROWS", 20)
+    monkeypatch.setattr(N, "MAX_BOOK", 8)
+    index = N.Neighbours(frame(spark, x), "vec_id", "stat1", 64)
+    assert index.levels == 3 and index.book <= 8
+    got = {(r.vec_a, r.vec_b) for r in index.similar_pairs(0.9).collect()}
+    assert not got - want and len(want - got) <= 0.03 * len(want)
+
+
+def test_candidates_of_a_dense_cluster_grow_with_its_rows(spark):
+    rng = np.random.default_rng(5)
+    centre, counts = rng.normal(size=64), []
+    for m in (500, 2000):
+        x = np.concatenate([centre + 0.05 * rng.normal(size=(m, 64)), rng.normal(size=(400, 64))]).astype(np.float32)
+        want, s = brute(x, 5, 0.9)
+        index = N.Neighbours(frame(spark, x), "vec_id", "stat1", 64)
+        reps = index.encoded().drop("h1", "h2")
+        counts.append(index._candidates(reps, 0.9, 5 + N.SPARE).count() / m)
+        got = {(r.vec_a, r.vec_b) for r in index.similar_pairs(0.9).collect()}
+        assert len(want - got) <= 0.01 * len(want) and len(got - want) <= 0.01 * len(want)
+    assert max(counts) <= 5 + N.SPARE
+
+
+def test_a_third_of_the_rows_are_copies(spark):
+    x = vectors(900)
+    x[:300] = x[0]
+    want = {(q, j) for q in range(300) for j in [i for i in range(7) if i != q][:5]}
+    got = {(r.vec_a, r.vec_b) for r in N.Neighbours(frame(spark, x), "vec_id", "stat1", 64).similar_pairs(0.9).collect()}
+    assert {(min(p), max(p)) for p in want} == {p for p in got if p[0] < 300 and p[1] < 300}
+
+
+def test_recall_of_the_search(spark):
+    r = N.search_recall(frame(spark, vectors(3000)), "vec_id", "stat1", 64, F.col("id") % 100 == 0).first()
+    assert (r.n_queries, r.n_wanted) == (30, 150) and 135 <= r.n_found <= 150
