@@ -140,3 +140,17 @@ def pack_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
         "container", "capacity_tokens", "n_bins", "n_pieces", "n_tokens",
         (F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens"))).alias("used_of_capacity"), (F.col("n_tokens") / F.col("length")).alias("used_of_length"),
     )
+
+
+def pack_check(documents: DataFrame, packed: DataFrame, containers: DataFrame, path: str | None = None) -> DataFrame:
+    """One row: bins that hold more than their length or are longer than the capacity, documents cut though they would
+    fit, and documents whose pieces are not their tokens, each counted by container."""
+    caps = F.broadcast(containers.where("capacity_tokens > 0").select("container", "capacity_tokens"))  # tasks
+    bins = packed.groupBy("container", "bin").agg(F.sum("n_tokens").alias("n"), F.min("bin_length").alias("length")).join(caps, "container")
+    overfull = bins.agg(F.count_if((F.col("n") > F.col("length")) | (F.col("length") > F.col("capacity_tokens"))).alias("overfull"))
+    want = with_token_counts(documents, ["doc_id"], path=path).crossJoin(caps)  # every row of the small table is a task
+    got = packed.groupBy("container", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    both = want.join(got, ["container", "doc_id"], "full")
+    cut = (F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity_tokens"))
+    covered = both.agg(F.count_if(cut).alias("cut_needlessly"), F.count_if(~F.col("n").eqNullSafe(F.col("n_tokens"))).alias("not_covered"))
+    return overfull.crossJoin(covered)  # one row each

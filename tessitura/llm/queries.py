@@ -78,6 +78,11 @@ def p8_report(spark, d):
     return packing.pack_report(p8_pack(spark, d), table(spark, d, "container_sizes"))
 
 
+def p8_check(spark, d):
+    """Bins over their length, documents cut needlessly or not covered: none."""
+    return packing.pack_check(table(spark, d, "documents"), p8_pack(spark, d), table(spark, d, "container_sizes"))
+
+
 def p9_mixture(spark, d):
     return mixing.Mixture(*_tables(spark, d, "documents", "mix_targets")).rows
 
@@ -86,6 +91,11 @@ def p9_shares(spark, d):
     return mixing.Mixture(*_tables(spark, d, "documents", "mix_targets")).report()
 
 
+def p9_check(spark, d):
+    """Documents used too often, uses drawn twice, shares off: none."""
+    return mixing.mixture_check(p9_mixture(spark, d), table(spark, d, "mix_targets"), 0.01)
+
+
 def _toxic(spark, d):
     return toxicity.toxic_documents(*_tables(spark, d, "documents", "doc_labels"))
 
@@ -102,7 +112,7 @@ def p10_rates(spark, d):
     return toxicity.toxicity_rates(_toxic(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p3_found, p3_assignment, p3_shares, p3_labels, p3_check, p5_found, p5_top, p6_found, p6_top, p6_recall, p8_pack, p8_report, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p3_found, p3_assignment, p3_shares, p3_labels, p3_check, p5_found, p5_top, p6_found, p6_top, p6_recall, p8_pack, p8_report, p8_check, p9_mixture, p9_shares, p9_check, p10_found, p10_scores, p10_rates)}
 
 _SEG = sql_seg_id("segset")
 _VALID = f"scoremask and scoremat is not null and not isnan(scoremat) and not isinf(scoremat) and {sql_is_named('modelset')} and {_SEG} is not null"
@@ -144,5 +154,7 @@ select distinct least(a, b) as vec_a, greatest(a, b) as vec_b from t where c >=
     "p6_recall": """with v as (select vec_id from stat_server where len(stat1) = 64 and vec_id is not null
   and list_bool_and(list_transform(stat1, lambda x: coalesce(isfinite(x), false))) and list_bool_or(list_transform(stat1, lambda x: x <> 0)))
 select count(*) as n_queries, (count(*) * least(5, (select count(*) - 1 from v)))::bigint as n_wanted, true as found_enough from v where vec_id % 100 = 0""",
+    "p8_check": "select 0 as overfull, 0 as cut_needlessly, 0 as not_covered",
+    "p9_check": "select 0 as over_repeats, 0 as drawn_twice, 0 as shares_off",
     "p5_top": f"with {_TOP} select * from t",
 }

@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessitura.llm import mixing, packing, tokens, toxicity
 
 DOCS = "doc_id long, source string, text string"
@@ -117,6 +119,56 @@ def test_split_tree_partitions_exactly(shards):
     assert max(p.sum() for p in parts) - min(p.sum() for p in parts) <= 2 + np.log2(shards)
 
 
+@pytest.mark.parametrize("shards,limit", [(1, 4), (5, 4), (37, 8)])
+def test_subtrees_go_on_as_the_whole_tree(shards, limit):
+    counts = np.array([1000, 370, 0, 50])
+    nodes = mixing.subtrees(counts, shards, 3, limit)
+    assert len(nodes) <= limit and sum(n for _, n, _ in nodes) == shards
+    parts = [leaf for path, n, c in nodes for leaf in mixing.split_tree(c, n, 3, path)]
+    assert np.array_equal(parts, mixing.split_tree(counts, shards, 3))
+    big = mixing.split_tree(np.array([10**10, 3 * 10**9 + 1]), 3, 1)
+    assert np.sum(big, axis=0).tolist() == [10**10, 3 * 10**9 + 1]
+
+
+def test_shards_hold_the_mixture_however_many_there_are(spark, monkeypatch):
+    df = spark.createDataFrame(documents(6000), DOCS)
+    want = targets(spark, [("big", 0.5, 1), ("mid", 0.3, 3), ("small", 0.2, 2)])
+    shares = []
+    for tokens in (mixing.SHARD_TOKENS, 20_000):
+        monkeypatch.setattr(mixing, "SHARD_TOKENS", tokens)
+        m = mixing.Mixture(df, want)
+        rows = m.rows.toPandas()
+        per = rows.pivot_table(index="shard", columns="source", values="n_tokens", aggfunc="sum").fillna(0)
+        per = per.div(per.sum(1), axis=0)
+        random_ = rows.assign(shard=np.random.default_rng(0).permutation(rows["shard"].to_numpy())).pivot_table(index="shard", columns="source", values="n_tokens", aggfunc="sum").fillna(0)
+        shares.append((m.shards, len(per), per, random_.div(random_.sum(1), axis=0)))
+        got = rows.groupby("source")["n_tokens"].sum() / rows["n_tokens"].sum()
+        assert abs(got["big"] - 0.5) < 0.02 and abs(got["mid"] - 0.3) < 0.02
+        most = rows.groupby(["source", "doc_id"]).size().groupby("source").max()
+        assert most["big"] == 1 and most["mid"] <= 3 and most["small"] <= 2
+    assert shares[0][0] == 8 and shares[1][0] > 20
+    for _, filled, per, random_ in shares:
+        assert filled >= 8 and np.abs(per.mean() - [0.5, 0.3, 0.2]).max() < 0.05
+        assert per.std().max() < 1.4 * random_.std().max()  # as even as if every document were dealt by itself
+
+
+def test_checks_find_nothing_and_what_is_wrong(spark):
+    df = spark.createDataFrame(documents(800), DOCS)
+    want = targets(spark, [("big", 0.5, 1), ("mid", 0.3, 3), ("small", 0.2, 2)])
+    drawn = mixing.Mixture(df, want).rows
+    assert tuple(mixing.mixture_check(drawn, want, 0.03).first()) == (0, 0, 0)
+    wrong = drawn.unionByName(drawn.where("source = 'big'").limit(1)).withColumn("repeat", F.lit(0))
+    assert mixing.mixture_check(wrong, want, 0.03).first().over_repeats >= 1
+    cont = spark.createDataFrame([("a", 64), ("b", 777)], "container string, capacity_tokens int")
+    packed = packing.pack_documents(df, cont)
+    assert tuple(packing.pack_check(df, packed, cont).first()) == (0, 0, 0)
+    first = packed.orderBy("container", F.desc("n_tokens"), "doc_id", "piece").first()
+    lost = packed.where((F.col("container") != first.container) | (F.col("doc_id") != first.doc_id))
+    assert packing.pack_check(df, lost, cont).first().not_covered == 1
+    heavy = packed.withColumn("bin", F.lit("one"))
+    assert packing.pack_check(df, heavy, cont).first().overfull == 2
+
+
 INSULTS = ["you are a stupid idiot and a liar", "go to hell you worthless moron", "all strangers are vermin and must be driven out", "hot naked girls want sex tonight"]
 
 
