@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tessitura.models.accumulate import accumulate, pack_symmetric, unpack_symmetric
 from tessitura.models.gmm import Mixture
 from tessitura.operators.stats import mean, moments, sum_per_model, total_covariance
-from tessitura.operators.vectors import lists, matrix
+from tessitura.operators.vectors import center, lists, matrix, whiten_diag
 
 
 @dataclass
@@ -290,16 +290,12 @@ def jfa_sides(enroll: DataFrame, test: DataFrame, m: Mixture, model: FactorModel
     """((model_id, v), (seg_id, v, n)) for linear scoring: the model's offset V y + D z divided by the covariance, and the
     test's centred statistics without its channel offset."""
     models = _speaker_offsets(sum_per_model(enroll), m, model)
-    precision = F.array(*[F.lit(float(x)) for x in (1 / m.cov).ravel()])
-    e = models.select("model_id", F.zip_with("offset", precision, lambda o, p: o * p).alias("v"))
+    e = whiten_diag(models.withColumnRenamed("offset", "v"), "v", np.zeros(m.super_size), m.cov**2)  # offset / covariance
     t = test.select("seg_id", "stat0", "stat1")
     if model.G is not None:
         t = subtract_offsets(t, _offsets(t, "seg_id", m, model.G), "seg_id", m)
-    mu = F.array(*[F.lit(float(x)) for x in m.mu.ravel()])
-    n = F.col("stat0")
-    centred = F.transform("stat1", lambda x, i: x - F.get(n, F.floor(i / m.dim).cast("int")) * F.get(mu, i))
     frames = F.aggregate("stat0", F.lit(0.0), lambda a, x: a + x)
-    return e, t.select("seg_id", centred.alias("v"), frames.alias("n"))
+    return e, center(t, m.mu).select("seg_id", F.col("stat1").alias("v"), frames.alias("n"))
 
 
 def residual_covariance(vectors: DataFrame, model: FactorModel) -> np.ndarray:

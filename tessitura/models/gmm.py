@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.models.accumulate import accumulate, pack_symmetric, unpack_symmetric
+from tessitura.operators.sums import vector_sums
 from tessitura.operators.vectors import lists, matrix
 
 
@@ -230,9 +231,7 @@ def sufficient_statistics(frames: DataFrame, m: Mixture) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), lists(np.array(rows))], ["seg_id", "v"])
 
     parts = frames.where("seg_id is not null and cep is not null").select("seg_id", "cep").mapInArrow(run, "seg_id string, v array<double>")
-    cells = parts.select("seg_id", F.posexplode("v").alias("i", "x")).groupBy("seg_id", "i").agg(F.sum("x").alias("x"))
-    whole = cells.groupBy("seg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    return whole.select("seg_id", F.slice("v", 1, c).alias("stat0"), F.slice("v", c + 1, c * m.dim).alias("stat1"))
+    return vector_sums(parts, ["seg_id"], {"v": "v"}).select("seg_id", F.slice("v", 1, c).alias("stat0"), F.slice("v", c + 1, c * m.dim).alias("stat1"))
 
 
 def score(trials: DataFrame, frames: DataFrame, models: DataFrame, m: Mixture, block: int = 2000) -> DataFrame:

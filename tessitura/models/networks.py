@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessitura.models.gmm import Mixture
 from tessitura.operators.frames import context
+from tessitura.operators.sums import vector_sums
 from tessitura.operators.vectors import lists, map_matrix, matrix
 
 # Names of activations.
@@ -136,9 +137,7 @@ def posterior_statistics(frames: DataFrame, classes: int, dim: int, posterior: s
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), lists(np.array(rows))], ["seg_id", "v"])
 
     parts = frames.select("seg_id", "cep", posterior).mapInArrow(run, "seg_id string, v array<double>")
-    cells = parts.select("seg_id", F.posexplode("v").alias("i", "x")).groupBy("seg_id", "i").agg(F.sum("x").alias("x"))
-    whole = cells.groupBy("seg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    return whole.select("seg_id", F.slice("v", 1, classes).alias("stat0"), F.slice("v", classes + 1, classes * dim).alias("stat1"))
+    return vector_sums(parts, ["seg_id"], {"v": "v"}).select("seg_id", F.slice("v", 1, classes).alias("stat0"), F.slice("v", classes + 1, classes * dim).alias("stat1"))
 
 
 def class_mixture(frames: DataFrame, classes: int, posterior: str = "posterior") -> Mixture:
@@ -182,9 +181,8 @@ def embeddings(frames: DataFrame, net: Network, upto: int = 1, least: int = 20,
                 yield pa.RecordBatch.from_arrays([pa.array(seg, pa.string()), pa.array(own, pa.int64()), lists(np.array(rows))], ["seg_id", "own", "v"])
 
     parts = packed.mapInArrow(run, "seg_id string, own long, v array<double>")
-    cells = parts.select("seg_id", F.posexplode("v").alias("i", "x")).groupBy("seg_id", "i").agg(F.sum("x").alias("x"))
     frames_of = frames.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n_frames")).where(F.col("n_frames") >= least)
-    whole = cells.groupBy("seg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("s")).join(frames_of.select("seg_id"), "seg_id", "left_semi")
+    whole = vector_sums(parts, ["seg_id"], {"s": "v"}).join(frames_of.select("seg_id"), "seg_id", "left_semi")
 
     def finish(s: np.ndarray) -> np.ndarray:
         n, d = s[:, :1], (s.shape[1] - 1) // 2

@@ -139,10 +139,10 @@ def dct_context(df: DataFrame, left: int = 12, right: int = 12, projection: np.n
 
 
 def _show_moments(df: DataFrame, column: str, speech: Column | None) -> DataFrame:
-    rows = df if speech is None else df.where(speech)
-    cells = rows.select("show", F.posexplode(column).alias("_i", "_x")).groupBy("show", "_i").agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s"))
-    packed = F.array_sort(F.collect_list(F.struct("_i", "m", "s")))  # one entry a coefficient
-    return cells.groupBy("show").agg(F.transform(packed, lambda c: c["m"]).alias("_m"), F.transform(packed, lambda c: c["s"]).alias("_s"))
+    from tessitura.operators.sums import vector_moments
+
+    m = vector_moments(df if speech is None else df.where(speech), ["show"], column)
+    return m.select("show", F.col("mean").alias("_m"), F.transform("square", lambda x: F.sqrt(x / F.col("n"))).alias("_s"))
 
 
 def cms(df: DataFrame, column: str = "cep", speech: Column | None = None) -> DataFrame:

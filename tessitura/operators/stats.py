@@ -13,28 +13,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.operators.vectors import inverse_root, length_norm, map_matrix, matrix, whiten
-
-
-def _array_sum(df: DataFrame, by: list[str], columns: dict[str, str], f=F.sum) -> DataFrame:
-    """Element-wise ``f`` of array columns by group, as one long aggregation with map-side combining."""
-    out = None
-    for name, column in columns.items():
-        cells = df.select(*by, F.posexplode(column).alias("_i", "_x")).groupBy(*by, "_i").agg(f("_x").alias("_x"))
-        one = cells.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias(name))
-        out = one if out is None else out.join(one, by)
-    return out
+from tessitura.operators.sums import vector_sums
+from tessitura.operators.vectors import inverse_root, length_norm, map_columns, map_matrix, matrix, whiten
 
 
 def sum_per_model(stats: DataFrame) -> DataFrame:
-    """(model_id, stat0, stat1, n_sessions): sums over the sessions of every model."""
-    n = stats.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_sessions"))
-    return _array_sum(stats, ["model_id"], {"stat0": "stat0", "stat1": "stat1"}).join(n, "model_id")
+    """(model_id, stat0, stat1, n_sessions): sums over the sessions of every model. Sessions without statistics are left out."""
+    out = vector_sums(stats, ["model_id"], {"stat0": "stat0", "stat1": "stat1"})
+    return out.select("model_id", "stat0", "stat1", F.col("n").alias("n_sessions"))
 
 
 def mean_per_model(stats: DataFrame) -> DataFrame:
     """(model_id, stat0, stat1): means over the sessions of every model."""
-    return _array_sum(stats, ["model_id"], {"stat0": "stat0", "stat1": "stat1"}, F.avg)
+    out = vector_sums(stats, ["model_id"], {"stat0": "stat0", "stat1": "stat1"})
+    return out.select("model_id", *[F.transform(c, lambda x: x / F.col("n")).alias(c) for c in ("stat0", "stat1")])
 
 
 def moments(df: DataFrame, column: str = "stat1") -> tuple[int, np.ndarray, np.ndarray]:
@@ -177,22 +169,17 @@ def map_adapt(stats: DataFrame, mu: np.ndarray, r: float = 16.0, invcov: np.ndar
     precision, so that their inner product approximates the divergence of the models.
     """
     mu = np.asarray(mu, dtype=np.float64)
-    c, d = mu.shape
-    root = None if invcov is None else np.sqrt(np.asarray(w)[:, None] * np.asarray(invcov)).ravel()
-    m = F.array(*[F.lit(float(x)) for x in mu.ravel()])
-    n = F.col("stat0")
-
-    def one(x, i):
-        k = F.get(n, F.floor(i / d).cast("int"))
-        mean_ = F.when(k > 0, x / k).otherwise(F.lit(0.0))
+    root = np.ones(mu.size) if invcov is None else np.sqrt(np.asarray(w)[:, None] * np.asarray(invcov)).ravel()
+    shared = stats.sparkSession.sparkContext.broadcast((mu, root))
+
+    def adapt(n: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, scale_ = shared.value
+        k = n[:, :, None]
+        mean_ = np.divide(f.reshape(len(f), *m.shape), k, out=np.zeros((len(f), *m.shape)), where=k > 0)
         a = k / (k + r)
-        return a * mean_ + (1 - a) * F.get(m, i)
+        return np.ones((len(f), 1)), (a * mean_ + (1 - a) * m).reshape(len(f), -1) * scale_
 
-    out = stats.withColumn("stat1", F.transform("stat1", one))
-    if root is not None:
-        s = F.array(*[F.lit(float(x)) for x in root])
-        out = out.withColumn("stat1", F.transform("stat1", lambda x, i: x * F.get(s, i)))
-    return out.withColumn("stat0", F.array(F.lit(1.0)))
+    return map_columns(stats, ["stat0", "stat1"], ["stat0", "stat1"], adapt)
 
 
 def map_adapt_multisession(stats: DataFrame, mu: np.ndarray, r: float = 16.0, **scale) -> DataFrame:
@@ -202,6 +189,5 @@ def map_adapt_multisession(stats: DataFrame, mu: np.ndarray, r: float = 16.0, **
 
 def frame_moments(frames: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, sum_x, sum_xx) of the ``cep`` vectors of frames."""
-    n = frames.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     sq = frames.withColumn("_sq", F.transform("cep", lambda x: x * x))
-    return _array_sum(sq, by, {"sum_x": "cep", "sum_xx": "_sq"}).join(n, by)
+    return vector_sums(sq, by, {"sum_x": "cep", "sum_xx": "_sq"})

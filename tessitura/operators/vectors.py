@@ -52,18 +52,6 @@ def length_norm(a: Column | str) -> Column:
     return scale(a, 1 / F.greatest(norm(a), F.lit(FLOOR)))
 
 
-def literal(v: np.ndarray) -> Column:
-    """A vector as an array literal."""
-    return F.array(*[F.lit(float(x)) for x in np.asarray(v).ravel()])
-
-
-def center(stat1: Column | str, stat0: Column | str, mean: np.ndarray) -> Column:
-    """stat1 minus stat0 of its component times the mean super-vector."""
-    m, a, n = literal(mean), _c(stat1), _c(stat0)
-    width = F.size(a) / F.size(n)
-    return F.transform(a, lambda x, i: x - F.get(n, F.floor(i / width).cast("int")) * F.get(m, i))
-
-
 def weighted_subtract(stat1: Column | str, stat0: Column | str, other: Column | str) -> Column:
     """stat1 minus stat0 of its component times ``other``."""
     a, n, o = _c(stat1), _c(stat0), _c(other)
@@ -71,12 +59,6 @@ def weighted_subtract(stat1: Column | str, stat0: Column | str, other: Column |
     return F.transform(a, lambda x, i: x - F.get(n, F.floor(i / width).cast("int")) * F.get(o, i))
 
 
-def whiten_diag(v: Column | str, mean: np.ndarray, sigma: np.ndarray) -> Column:
-    """(v - mean) / sqrt(sigma), by coefficient."""
-    m, s = literal(mean), literal(1 / np.sqrt(sigma))
-    return F.transform(_c(v), lambda x, i: (x - F.get(m, i)) * F.get(s, i))
-
-
 def matrix(batch: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of a list column as a matrix of doubles; all lists must have one length."""
     a = batch.combine_chunks() if isinstance(batch, pa.ChunkedArray) else batch
@@ -102,6 +84,32 @@ def map_matrix(df: DataFrame, column: str, out: str, f: Callable[[np.ndarray], n
     return df.mapInArrow(run, schema)
 
 
+def map_columns(df: DataFrame, inputs: list[str], outputs: list[str], f: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
+    """As :func:`map_matrix` with several vector columns: ``f`` of their matrices gives those of ``outputs``."""
+    others = [c for c in df.columns if c not in outputs]
+    schema = T.StructType([*(df.schema[c] for c in others), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in outputs)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):  # wide vectors: a whole batch of them would be large
+                part = b.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in others), *map(lists, f(*(matrix(part[c]) for c in inputs)))], [*others, *outputs])
+
+    return df.mapInArrow(run, schema)
+
+
+def center(df: DataFrame, mean: np.ndarray) -> DataFrame:
+    """stat1 minus stat0 of its component times the mean super-vector."""
+    shared = df.sparkSession.sparkContext.broadcast(np.asarray(mean, dtype=np.float64).ravel())
+    return map_columns(df, ["stat0", "stat1"], ["stat1"], lambda n, x: (x - np.repeat(n, x.shape[1] // n.shape[1], axis=1) * shared.value,))
+
+
+def whiten_diag(df: DataFrame, column: str, mean: np.ndarray, sigma: np.ndarray) -> DataFrame:
+    """(v - mean) / sqrt(sigma), by coefficient."""
+    shared = df.sparkSession.sparkContext.broadcast((np.asarray(mean).ravel(), 1 / np.sqrt(np.asarray(sigma).ravel())))
+    return map_matrix(df, column, column, lambda x: (x - shared.value[0]) * shared.value[1])
+
+
 def rotate(df: DataFrame, column: str, r: np.ndarray, out: str | None = None) -> DataFrame:
     """Every vector times the matrix ``r`` (from the right)."""
     shared = df.sparkSession.sparkContext.broadcast(np.asarray(r, dtype=np.float64))

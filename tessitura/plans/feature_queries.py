@@ -34,13 +34,12 @@ def vectors_length_norm(s, d):
 
 
 def vectors_center(s, d):
-    x = V.sessions(s, d)
-    return _cells(x.select("pos", VE.center("stat1", "stat0", np.arange(64) / 64).alias("v")), "pos")
+    return _cells(VE.center(V.sessions(s, d).select("pos", "stat0", "stat1"), np.arange(64) / 64), "pos", column="stat1")
 
 
 def vectors_whiten_diag(s, d):
-    x = V.sessions(s, d)
-    return _cells(x.select("pos", VE.whiten_diag("stat1", np.arange(64) / 64, 1 + np.arange(64) / 16).alias("v")), "pos")
+    x = V.sessions(s, d).select("pos", F.col("stat1").alias("v"))
+    return _cells(VE.whiten_diag(x, "v", np.arange(64) / 64, 1 + np.arange(64) / 16), "pos")
 
 
 def vectors_rotate(s, d):
