@@ -234,11 +234,11 @@ def sufficient_statistics(frames: DataFrame, m: Mixture) -> DataFrame:
     return vector_sums(parts, ["seg_id"], {"v": "v"}).select("seg_id", F.slice("v", 1, c).alias("stat0"), F.slice("v", c + 1, c * m.dim).alias("stat1"))
 
 
-def score(trials: DataFrame, frames: DataFrame, models: DataFrame, m: Mixture, block: int = 2000) -> DataFrame:
+def score(trials: DataFrame, frames: DataFrame, models: DataFrame, m: Mixture, block: int = 2000, together: int = 8) -> DataFrame:
     """(model_id, seg_id, score): mean frame log-likelihood ratio of adapted means (model_id, v) to ``m``.
 
-    Frames are packed in blocks of bounded size; a trial is an equi-join of its segment's blocks with its
-    model, and block sums are added by trial.
+    Frames are packed in blocks of bounded size, models of a segment in groups of about ``together``; a block meets
+    a group once, where the background is evaluated once for all its models, and block sums are added by trial.
     """
     shared = frames.sparkSession.sparkContext.broadcast(m)
     blocks = (
@@ -246,17 +246,19 @@ def score(trials: DataFrame, frames: DataFrame, models: DataFrame, m: Mixture, b
         .groupBy("seg_id", "b")
         .agg(F.flatten(F.collect_list("cep")).alias("x"))  # at most ``block`` frames
     )
-    work = trials.select("model_id", "seg_id").distinct().join(blocks, "seg_id").join(models.select("model_id", "v"), "model_id")
+    pairs = trials.select("model_id", "seg_id").distinct()
+    groups = pairs.groupBy("seg_id").agg(F.ceil(F.count(F.lit(1)) / together).alias("_groups"))
+    grouped = pairs.join(groups, "seg_id").withColumn("_group", F.pmod(F.xxhash64("model_id"), F.col("_groups")))
+    packed = grouped.join(models.select("model_id", "v"), "model_id").groupBy("seg_id", "_group").agg(F.collect_list(F.struct("model_id", "v")).alias("m"))  # about ``together``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total, count = [], []
-            for x, v in zip(b["x"].to_pylist(), b["v"].to_pylist()):
-                y = np.array(x).reshape(-1, shared.value.dim)
-                lp, lq = shared.value.log_density(y, np.array(v)), shared.value.log_density(y)
-                total.append(float((np.logaddexp.reduce(lp, axis=1) - np.logaddexp.reduce(lq, axis=1)).sum()))
-                count.append(len(y))
-            yield pa.RecordBatch.from_arrays([b["model_id"], b["seg_id"], pa.array(total, pa.float64()), pa.array(count, pa.int64())], ["model_id", "seg_id", "s", "n"])
-
-    parts = work.select("model_id", "seg_id", "x", "v").mapInArrow(run, "model_id string, seg_id string, s double, n long")
+            for i in range(b.num_rows):
+                y = np.asarray(b["x"][i].values, dtype=np.float64).reshape(-1, shared.value.dim)
+                names, means = b["m"][i].values.field("model_id"), b["m"][i].values.field("v")
+                background = np.logaddexp.reduce(shared.value.log_density(y), axis=1).sum()
+                total = [float(np.logaddexp.reduce(shared.value.log_density(y, v), axis=1).sum() - background) for v in matrix(means)]
+                yield pa.RecordBatch.from_arrays([names, pa.array([b["seg_id"][i].as_py()] * len(total), pa.string()), pa.array(total, pa.float64()), pa.array([len(y)] * len(total), pa.int64())], ["model_id", "seg_id", "s", "n"])
+
+    parts = blocks.join(packed, "seg_id").select("seg_id", "x", "m").mapInArrow(run, "model_id string, seg_id string, s double, n long")
     return parts.groupBy("model_id", "seg_id").agg((F.sum("s") / F.sum("n")).alias("score"))

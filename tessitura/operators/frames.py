@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.functions.filters import one_pole
+
 #: Frames of a chunk.
 CHUNK = 8192
 
@@ -207,18 +209,11 @@ def rasta(df: DataFrame, column: str = "cep", warmup: int = 1024) -> DataFrame:
     outputs of a show zero. Chunks start ``warmup`` frames early: what the pole still remembers is below 1e-27."""
 
     def run(x: np.ndarray, pdf: pd.DataFrame) -> np.ndarray:
-        taps, y, state = (0.2, 0.1, 0.0, -0.1, -0.2), np.zeros_like(x), np.zeros(x.shape[1])
         fir = np.zeros_like(x)
-        for k, c in enumerate(taps):
+        for k, c in enumerate((0.2, 0.1, 0.0, -0.1, -0.2)):
             fir[k:] += c * x[: max(0, len(x) - k)]
-        begins = pdf["_first"].to_numpy() == pdf["frame_idx"].to_numpy()
-        offset = pdf["frame_idx"].to_numpy() - pdf["_first"].to_numpy()
-        for t in range(len(x)):
-            if begins[t]:
-                state = np.zeros(x.shape[1])
-            state = np.zeros(x.shape[1]) if offset[t] < 4 else fir[t] + 0.94 * state
-            y[t] = state
-        return y
+        fir[(pdf["frame_idx"] - pdf["_first"]).to_numpy() < 4] = 0
+        return one_pole(fir, 0.94)
 
     first = df.groupBy("show").agg(F.min("frame_idx").alias("_first"))
     return _per_chunk(df.join(first, "show"), warmup + 4, 0, column, run).drop("_first")
@@ -260,7 +255,8 @@ def vad_percentile(df: DataFrame, percent: float, column: str = "energy", by: st
 
 def vad_energy(df: DataFrame, column: str = "energy", components: int = 3, iterations: int = 8, floor: float = 1e-4, ceiling: float = 1.0, alpha: float = 2.0, bins: int = 4096) -> DataFrame:
     """Adds ``vad``: energy above mean - alpha * deviation of the loudest of ``components`` Gaussians fitted to
-    the show's standardised energy. The fit sees a histogram of ``bins`` cells, whatever the show's length."""
+    the show's standardised energy, from means between -2 and 2. The fit sees a histogram of ``bins`` cells, whatever
+    the show's length; a show of constant energy has no speech."""
     mom = df.groupBy("show").agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"))
     z = (F.col(column) - F.col("_m")) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))
     scaled = df.join(mom, "show").withColumn("_z", z)
@@ -268,7 +264,7 @@ def vad_energy(df: DataFrame, column: str = "energy", components: int = 3, itera
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, n = pdf["z"].to_numpy(), pdf["n"].to_numpy(dtype=np.float64)
-        mu, var, w = np.linspace(-1.0, 1.0, components), np.ones(components), np.full(components, 1 / components)
+        mu, var, w = np.linspace(-2.0, 2.0, components), np.ones(components), np.full(components, 1 / components)
         for _ in range(iterations):
             lp = np.log(w) - 0.5 * (np.log(2 * np.pi * var) + (x[:, None] - mu) ** 2 / var)
             p = np.exp(lp - lp.max(1, keepdims=True))
@@ -276,10 +272,35 @@ def vad_energy(df: DataFrame, column: str = "energy", components: int = 3, itera
             s = np.maximum(p.sum(0), 1e-10)
             w, mu = s / s.sum(), (p * x[:, None]).sum(0) / s
             var = np.clip((p * (x[:, None] - mu) ** 2).sum(0) / s, floor, ceiling)
-        return pd.DataFrame({"show": pdf["show"].iloc[:1], "_cut": [float((mu - alpha * np.sqrt(var)).max())]})
+        loudest = int(mu.argmax())
+        return pd.DataFrame({"show": pdf["show"].iloc[:1], "_cut": [float(mu[loudest] - alpha * np.sqrt(var[loudest]))]})
 
     cut = cells.groupBy("show").applyInPandas(fit, df.select("show").schema.add("_cut", "double"))
-    return scaled.join(cut, "show").withColumn("vad", F.col("_z") > F.col("_cut")).drop("_m", "_s", "_z", "_cut")
+    return scaled.join(cut, "show").withColumn("vad", (F.col("_z") > F.col("_cut")) & (F.col("_s") > 0)).drop("_m", "_s", "_z", "_cut")
+
+
+def fuse_channels(df: DataFrame, column: str = "vad") -> DataFrame:
+    """Frames (show, channel, frame_idx, vad): those that are speech in both of a show's two channels are in neither."""
+    both = F.count_if(F.col(column)).over(Window.partitionBy("show", "frame_idx"))
+    channels = df.groupBy("show").agg(F.count_distinct("channel").alias("_channels"))
+    return df.withColumn("_both", both).join(channels, "show").withColumn(column, F.col(column) & ~((F.col("_channels") == 2) & (F.col("_both") == 2))).drop("_both", "_channels")
+
+
+def detect_speech(df: DataFrame, kind: str | None, labels: DataFrame | None = None, percent: float = 10.0, fps: float = 100.0) -> DataFrame:
+    """``vad`` of frames (show, frame_idx, energy, ...) by the rule ``kind``: None (all), 'energy', 'percentil', or 'lbl' from
+    ``labels`` (show, t_start, t_stop, label). 'snr' needs the signal and is set by extraction: it is left as it is."""
+    if kind is None:
+        return df.withColumn("vad", F.lit(True))
+    if kind == "snr":
+        return df
+    if kind == "energy":
+        return vad_energy(df, ceiling=1.5, alpha=0.2)
+    if kind == "percentil":
+        return vad_percentile(df, percent)
+    if kind == "lbl" and labels is not None:
+        speech = intervals_to_frames(labels, fps).withColumn("_speech", F.lit(True))
+        return df.join(speech, ["show", "frame_idx"], "left").withColumn("vad", F.coalesce("_speech", F.lit(False))).drop("_speech")
+    raise ValueError(f"unknown rule {kind}")
 
 
 def smooth_labels(df: DataFrame, column: str = "vad", win: int = 3) -> DataFrame:

@@ -8,7 +8,6 @@ of the remaining vertices, so no step holds all scores in one task.
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tessitura.operators.prefix import running
+from tessitura.workspace import Workspace
 
 # -- scalar functions -----------------------------------------------------------------------------
 
@@ -41,11 +41,42 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
+# Coefficients of the rational approximations of the normal quantile (algorithm AS 241), constant term first:
+# near one half, and for the tails by the root of minus the logarithm, near and far.
+CENTRE = (
+    (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+    (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610),
+)
+NEAR = (
+    (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640),
+    (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 1.05075007164441684324e-9),
+)
+FAR = (
+    (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 0.0000271155556874348757815, 2.01033439929228813265e-7),
+    (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 0.000786869131145613259100, 0.0000184631831751005468180, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+)
+
+
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """Quantile of the standard normal distribution; infinite at 0 and 1, NaN outside."""
+    p = np.asarray(p, dtype=np.float64)
+
+    def ratio(c: tuple, x: np.ndarray) -> np.ndarray:
+        return np.polyval(c[0][::-1], x) / np.polyval(c[1][::-1], x)
+
+    q = p - 0.5
+    with np.errstate(all="ignore"):
+        r = np.sqrt(-np.log(np.minimum(p, 1 - p)))
+        tail = np.where(r <= 5, ratio(NEAR, r - 1.6), ratio(FAR, r - 5))
+        out = np.where(np.abs(q) <= 0.425, q * ratio(CENTRE, 0.180625 - q**2), np.sign(q) * tail)
+    return np.select([p == 0, p == 1, (p > 0) & (p < 1)], [-np.inf, np.inf, out], np.nan)
+
+
 @F.pandas_udf(DoubleType())
 def probit(p: pd.Series) -> pd.Series:
     """Normal quantile; infinite at 0 and 1, null outside."""
-    d = NormalDist()
-    return p.map(lambda x: -math.inf if x == 0 else math.inf if x == 1 else d.inv_cdf(x) if 0 < x < 1 else None)
+    x = normal_quantile(p.to_numpy(dtype=np.float64))
+    return pd.Series(x, dtype="Float64").mask(np.isnan(x))
 
 
 # -- ROC ------------------------------------------------------------------------------------------
@@ -60,6 +91,7 @@ def roc_points(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     clean = scores.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("is_target").isNotNull())
     steps = clean.groupBy(*by, "score").agg(F.count_if("is_target").alias("t"), F.count_if(~F.col("is_target")).alias("n"))
+    steps = Workspace(scores.sparkSession, "roc").write(steps, "steps")  # read for the order, the sums and the totals
     ran = running(steps, ["score"], {"n_miss": "t", "n_rejected": "n"}, by)
     totals = steps.groupBy(*by).agg(F.sum("t").alias("_targets"), F.sum("n").alias("_nontargets"))
     cols = [F.col("n_miss"), F.col("n_fa"), F.try_divide(F.col("n_miss").cast("double"), F.col("_targets")).alias("p_miss"), F.try_divide(F.col("n_fa").cast("double"), F.col("_nontargets")).alias("p_fa")]
@@ -119,7 +151,7 @@ def rocch(roc: DataFrame, by: list[str] | None = None, block: int = 100_000) ->
         return pdf.iloc[_hull(pdf["n_fa"].to_numpy(np.float64), pdf["n_miss"].to_numpy(np.float64))]
 
     points = roc.where(F.col("p_miss").isNotNull() & F.col("p_fa").isNotNull()).select(*cols)
-    points = points.withColumn("_block", F.floor((F.col("n_fa") + F.col("n_miss")) / block))
+    points = points.withColumn("_block", F.floor((F.col("n_miss") - F.col("n_fa")) / block))  # grows along the curve
     part = points.groupBy(*by, "_block").applyInPandas(lambda p: hull(p)[cols], schema)
     return part.withColumn("_all", F.lit(0)).groupBy(*by, "_all").applyInPandas(lambda p: hull(p)[cols], schema)
 

@@ -5,14 +5,16 @@ before the join, so a trial costs one inner product."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.operators.stats import mean_per_model
-from tessitura.operators.vectors import dot, length_norm, map_matrix, subtract
+from tessitura.operators.sums import vector_products
+from tessitura.operators.vectors import dot, length_norm, map_matrix, matrix, subtract
 
 TRIAL = ["model_id", "seg_id"]
 
@@ -137,24 +139,32 @@ def plda(trials: DataFrame, enroll: DataFrame, test: DataFrame, mu: np.ndarray,
 
 def plda_uncertain(trials: DataFrame, enroll: DataFrame, test: DataFrame, mu: np.ndarray, f: np.ndarray, sigma: np.ndarray) -> DataFrame:
     """PLDA log-ratio where every test vector (seg_id, v, u) adds its own diagonal uncertainty ``u`` to the residual
-    covariance. The two-Gaussian ratio is evaluated by batch of trials."""
+    covariance. It depends on the segment alone: a batch of trials is solved segment by segment."""
     across, m = f @ f.T, np.asarray(mu, dtype=np.float64)
     total = across + sigma
-
-    def score(v: pd.Series, w: pd.Series, u: pd.Series) -> pd.Series:
-        out = []
-        for a, b, c in zip(v, w, u):
-            own = total + np.diag(np.asarray(c))
-            x, y = np.asarray(a) - m, np.asarray(b) - m
-            given = own - across @ np.linalg.solve(total, across)
-            e = y - across @ np.linalg.solve(total, x)
-            same = -0.5 * (np.linalg.slogdet(given)[1] + e @ np.linalg.solve(given, e))
-            apart = -0.5 * (np.linalg.slogdet(own)[1] + y @ np.linalg.solve(own, y))
-            out.append(same - apart)
-        return pd.Series(out, dtype=np.float64)
-
-    udf = F.pandas_udf(score, "double")
-    return pair_scores(trials, enroll, test, udf("e_v", "t_v", "t_u"))
+    back = np.linalg.solve(total, across)  # given x, y has the mean x back and a covariance less by across back
+    shared = trials.sparkSession.sparkContext.broadcast((total, back, across @ back))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total_, back_, taken = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y, u = matrix(b["e_v"]) - m, matrix(b["t_v"]) - m, matrix(b["t_u"])
+            out = np.empty(len(x))
+            names, first, at = np.unique(np.asarray(b["seg_id"].to_pylist(), dtype=object), return_index=True, return_inverse=True)
+            for s in range(len(names)):
+                rows = np.flatnonzero(at == s)
+                own = total_ + np.diag(u[first[s]])
+                given = own - taken
+                e, apart = y[rows] - x[rows] @ back_, y[first[s]]
+                same = np.linalg.slogdet(given)[1] + (e * np.linalg.solve(given, e.T).T).sum(1)
+                out[rows] = 0.5 * (np.linalg.slogdet(own)[1] + apart @ np.linalg.solve(own, apart) - same)
+            yield pa.RecordBatch.from_arrays([b["model_id"], b["seg_id"], pa.array(out)], [*TRIAL, "score"])
+
+    e = enroll.select("model_id", F.col("v").alias("e_v"))
+    t = test.select("seg_id", F.col("v").alias("t_v"), F.col("u").alias("t_u"))
+    return trials.select(*TRIAL).distinct().join(e, "model_id").join(t, "seg_id").mapInArrow(score, "model_id string, seg_id string, score double")
 
 
 def svm(trials: DataFrame, machines: DataFrame, test: DataFrame) -> DataFrame:
@@ -170,17 +180,16 @@ def jfa(trials: DataFrame, enroll: DataFrame, test: DataFrame) -> DataFrame:
 
 def gaussian_backend_train(stats: DataFrame, alpha: float | None = None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Mean and covariance by class: tied, or with ``alpha`` the class's own mixed with the tied one,
-    alpha * own + (1 - alpha) * tied. The number of classes (languages) is small by its meaning."""
-    from tessitura.operators.stats import moments, within_covariance
-
-    tied, out = within_covariance(stats), {}
-    for r in mean_of(stats).collect():
-        own = tied
-        if alpha is not None:
-            n, s, ss = moments(stats.where(F.col("model_id") == r.model_id))
-            own = alpha * (ss / n - np.outer(s, s) / n**2) + (1 - alpha) * tied
-        out[r.model_id] = (np.array(r.v), own)
-    return out
+    alpha * own + (1 - alpha) * tied. The number of classes (languages) is small by its meaning; all come from one pass."""
+    out, n_all, within = {}, 0, 0.0
+    for r in vector_products(stats, ["model_id"], "stat1").collect():
+        m = np.array(r.mean)
+        i = np.triu_indices(len(m))
+        c = np.zeros((len(m), len(m)))
+        c[i] = c.T[i] = r.product
+        out[r.model_id], n_all, within = (m, c / r.n), n_all + r.n, within + c
+    tied = within / max(1, n_all)
+    return {k: (m, tied if alpha is None else alpha * own + (1 - alpha) * tied) for k, (m, own) in out.items()}
 
 
 def gaussian_backend_test(test: DataFrame, params: dict[str, tuple[np.ndarray, np.ndarray]], diag: bool = False) -> DataFrame:

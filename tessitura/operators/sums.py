@@ -118,3 +118,18 @@ def vector_moments(df: DataFrame, by: list[str], column: str) -> DataFrame:
         return [n, a[1] + d * (b[0] / n), a[2] + b[2] + d**2 * (a[0] * b[0] / n)]
 
     return _combined(df, by, [column], start, merge, ["mean", "square"])
+
+
+def vector_products(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(by, n, mean, product): number of rows, means, and the upper triangle of the sum of outer products about them."""
+
+    def start(m: list[np.ndarray]) -> State:
+        mean = m[0].mean(0)
+        x = m[0] - mean
+        return [len(x), mean, (x.T @ x)[np.triu_indices(x.shape[1])]]
+
+    def merge(a: State, b: State) -> State:
+        n, d = a[0] + b[0], b[1] - a[1]
+        return [n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d)[np.triu_indices(len(d))] * (a[0] * b[0] / n)]
+
+    return _combined(df, by, [column], start, merge, ["mean", "product"])

@@ -15,6 +15,7 @@ from tessitura.operators import trials as T
 from tessitura.operators import vectors as VE
 from tessitura.plans import views as V
 from tessitura.plans.tables import table
+from tessitura.workspace import Workspace
 
 R, EPS = 6, 1.3e-9
 
@@ -98,9 +99,13 @@ def map_adapt_multisession(s, d):
     return _cells(out.select("model_id", F.col("stat1").alias("v")), "model_id")
 
 
-def _trials(s, d):
+def _scoring(s, d, *columns):
+    """Written once: trials, enrolled means and tests all read it."""
+    return Workspace(s, "sessions").write(V.sessions(s, d).select("pos", "model_id", "seg_id", "stat0", "stat1", *columns), "sessions")
+
+
+def _trials(x):
     """Every session's segment against its own model and against the next model in order."""
-    x = V.sessions(s, d)
     own = T.trial_index(x)
     index = T.model_index(x)
     n = index.count()
@@ -109,29 +114,31 @@ def _trials(s, d):
     return T.merge_indexes(own, shifted)
 
 
-def _sides(s, d):
-    x = V.sessions(s, d)
+def _sides(x):
     return SC.mean_of(x), SC.first_of(x, "seg_id")
 
 
 def score_cosine(s, d):
-    return SC.cosine(_trials(s, d), *_sides(s, d)).withColumn("score", F.round("score", R))
+    x = _scoring(s, d)
+    return SC.cosine(_trials(x), *_sides(x)).withColumn("score", F.round("score", R))
 
 
 def score_mahalanobis(s, d):
     """With a diagonal matrix, so that SQL can express it."""
-    return SC.mahalanobis(_trials(s, d), *_sides(s, d), np.diag(1 / (1 + np.arange(64)))).withColumn("score", F.round("score", R))
+    x = _scoring(s, d)
+    return SC.mahalanobis(_trials(x), *_sides(x), np.diag(1 / (1 + np.arange(64)))).withColumn("score", F.round("score", R))
 
 
 def score_svm(s, d):
-    enroll, test = _sides(s, d)
-    return SC.svm(_trials(s, d), enroll.select("model_id", F.col("v").alias("w"), F.lit(-0.5).alias("b")), test).withColumn("score", F.round("score", R))
+    x = _scoring(s, d)
+    enroll, test = _sides(x)
+    return SC.svm(_trials(x), enroll.select("model_id", F.col("v").alias("w"), F.lit(-0.5).alias("b")), test).withColumn("score", F.round("score", R))
 
 
 def score_two_covariance(s, d):
-    x = V.sessions(s, d)
+    x = _scoring(s, d)
     w = ST.within_covariance(x)
-    return SC.two_covariance(_trials(s, d), *_sides(s, d), w + 0.01 * np.eye(64), ST.between_covariance(x) + 0.01 * np.eye(64))
+    return SC.two_covariance(_trials(x), *_sides(x), w + 0.01 * np.eye(64), ST.between_covariance(x) + 0.01 * np.eye(64))
 
 
 def score_gaussian_backend(s, d):

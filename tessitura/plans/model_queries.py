@@ -11,7 +11,7 @@ from tessitura.operators import codecs
 from tessitura.operators import scoring as SC
 from tessitura.operators import stats as ST
 from tessitura.plans import views as V
-from tessitura.plans.feature_queries import _cells, _frames, _sides, _trials
+from tessitura.plans.feature_queries import _cells, _frames, _scoring, _sides, _trials
 from tessitura.plans.tables import table
 from tessitura.signal import extract as X
 
@@ -66,9 +66,9 @@ def session_vectors(s, d):
 
 
 def score_plda(s, d):
-    x = V.sessions(s, d)
+    x = _scoring(s, d)
     model = factors.plda(x.select("model_id", "stat1"), 16, 3)
-    return SC.fast_plda(_trials(s, d), *_sides(s, d), model.mean, model.F, model.sigma)
+    return SC.fast_plda(_trials(x), *_sides(x), model.mean, model.F, model.sigma)
 
 
 def project_lda(s, d):
@@ -84,8 +84,8 @@ def remove_nap(s, d):
 
 
 def score_cosine_wccn(s, d):
-    x = V.sessions(s, d)
-    return SC.cosine(_trials(s, d), *_sides(s, d), ST.wccn(x))
+    x = _scoring(s, d)
+    return SC.cosine(_trials(x), *_sides(x), ST.wccn(x))
 
 
 def spectral_normalise(s, d):

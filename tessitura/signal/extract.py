@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,7 +85,7 @@ def augment(audio: DataFrame, plan: DataFrame, noises: dict[str, np.ndarray], re
                 if r["reverb"] is not None:
                     x = K.add_reverb(x, rs[r["reverb"]], r["sample_rate"])
                 if r["noise"] is not None:
-                    x = K.add_noise(x, ns[r["noise"]], r["snr"], seed=len(r["new_show"]))
+                    x = K.add_noise(x, ns[r["noise"]], r["snr"], seed=zlib.crc32(r["new_show"].encode()))
                 out.append(x.astype(np.float32).tolist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r["new_show"] for r in rows], pa.string()), pa.array([r["channel"] for r in rows], pa.int32()), pa.array([r["sample_rate"] for r in rows], pa.int32()), pa.array(out, pa.list_(pa.float32()))],

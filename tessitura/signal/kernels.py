@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from tessitura.functions.filters import one_pole
 from tessitura.operators.frames import dct_matrix
 
 # -- frequency scales -----------------------------------------------------------------------------
@@ -86,16 +87,12 @@ def band_edges(low: float, high: float, n_linear: int, n_log: int, middle: float
         return np.linspace(low, high, n_linear + 2)
     if n_linear == 0:
         return mel_to_hz(np.linspace(hz_to_mel(low), hz_to_mel(high), n_log + 2))
-    width = (min(middle, high) - low) / (n_linear + 1)
-    start = hz_to_mel(min(1000.0, high))
-    while n_log > 0:
-        step = (hz_to_mel(high) - start) / (n_log + 1)
-        if mel_to_hz(step) >= width:
-            break
-        n_linear, n_log = n_linear + 1, n_log - 1
-        start = hz_to_mel(low + (n_linear + 1) * width)
-    step = (hz_to_mel(high) - start) / (n_log + 1)
-    return np.concatenate([low + np.arange(n_linear) * width, mel_to_hz(start + np.arange(n_log + 2) * step)])
+    width, moved = (min(middle, high) - low) / (n_linear + 1), np.arange(n_log + 1)
+    # where the logarithmic part begins, and the width of its filters in mel, for every number of moved filters
+    begin = np.where(moved == 0, hz_to_mel(min(1000.0, high)), hz_to_mel(low + (n_linear + moved + 1) * width))
+    step = (hz_to_mel(high) - begin) / (n_log - moved + 1)
+    k = int(np.argmax((mel_to_hz(step) >= width) | (moved == n_log)))
+    return np.concatenate([low + np.arange(n_linear + k) * width, mel_to_hz(begin[k] + np.arange(n_log - k + 2) * step[k])])
 
 
 def filter_bank(fs: int, n_fft: int, low: float, high: float, n_linear: int, n_log: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,10 +226,8 @@ def rasta(x: np.ndarray) -> np.ndarray:
     fir = np.zeros_like(x, dtype=np.float64)
     for k, c in enumerate((0.2, 0.1, 0.0, -0.1, -0.2)):
         fir[k:] += c * x[: max(0, len(x) - k)]
-    y = np.zeros_like(fir)
-    for t in range(4, len(x)):
-        y[t] = fir[t] + 0.94 * y[t - 1]
-    return y
+    fir[:4] = 0
+    return one_pole(fir, 0.94)
 
 
 def plp(x: np.ndarray, fs: int = 16000, order: int = 13, window: float = 0.025, shift: float = 0.01, preemphasis: float = 0.97, use_rasta: bool = True) -> dict[str, np.ndarray]:
@@ -275,12 +270,7 @@ def active_level(x: np.ndarray, fs: int, hangover: float = 0.2, margin: float =
     it, thresholds halving from full scale, with interpolation between them."""
     x = np.asarray(x, dtype=np.float64)
     g, hang = np.exp(-1 / (fs * 0.03)), int(np.ceil(hangover * fs))
-    p = q = 0.0
-    env = np.zeros(len(x))
-    for i, v in enumerate(np.abs(x)):
-        p = g * p + (1 - g) * v
-        q = g * q + (1 - g) * p
-        env[i] = q
+    env = one_pole((1 - g) * one_pole((1 - g) * np.abs(x), g), g)
     sq, levels = float((x**2).sum()), []
     for c in 2.0 ** np.arange(-(bits - 1), 0):
         above = np.flatnonzero(env >= c)
@@ -319,9 +309,7 @@ def enhance(x: np.ndarray, fs: int, floor: float = 0.05, window: float = 0.032,
     padded = np.concatenate([np.zeros(shift), np.asarray(x, dtype=np.float64), np.zeros(size)])
     spec = np.fft.rfft(frame_signal(padded, size, shift) * w, axis=1)
     power = np.abs(spec) ** 2
-    smooth = power.copy()
-    for t in range(1, len(smooth)):
-        smooth[t] = 0.7 * smooth[t - 1] + 0.3 * power[t]
+    smooth = one_pole(np.concatenate([power[:1], 0.3 * power[1:]]), 0.7)
     noise = np.array([smooth[max(0, t - history) : t + 1].min(0) for t in range(len(smooth))]) * 1.5
     gain = np.maximum(1 - noise / np.maximum(power, 1e-20), floor)
     out, parts = np.zeros(len(padded)), np.fft.irfft(spec * gain, size, axis=1)
@@ -331,7 +319,7 @@ def enhance(x: np.ndarray, fs: int, floor: float = 0.05, window: float = 0.032,
 
 
 def vad_snr(x: np.ndarray, snr: float, fs: int = 16000, shift: float = 0.01, size: int = 256) -> np.ndarray:
-    """Frames whose level after enhancement lies within ``snr`` dB of the loudest."""
+    """Frames whose level after enhancement lies within ``snr`` dB of the loudest and above -75 dB."""
     f = frame_signal(enhance(x, fs), size, int(shift * fs))
     level = 20 * np.log10(np.maximum(f.std(1), 1e-12))
-    return level > level.max() - snr if len(level) else np.zeros(0, dtype=bool)
+    return (level > level.max() - snr) & (level > -75) if len(level) else np.zeros(0, dtype=bool)
