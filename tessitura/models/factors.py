@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessitura import schemas
 from tessitura.models.accumulate import accumulate, pack_symmetric, unpack_symmetric
 from tessitura.models.gmm import Mixture
 from tessitura.operators.stats import mean, moments, sum_per_model, total_covariance
@@ -31,6 +32,28 @@ class FactorModel:
     H: np.ndarray | None = None
     sigma: np.ndarray | None = None
 
+    def to_table(self, spark: SparkSession) -> DataFrame:
+        """(part, nr, vals): a row for every row of every part that is there; vectors are parts of one row."""
+        parts = {k: getattr(self, k) for k in ("mean", "F", "G", "H", "sigma")}
+        rows = [(k, i, r.tolist()) for k, m in parts.items() if m is not None for i, r in enumerate(np.atleast_2d(np.asarray(m, dtype=np.float64)))]
+        return spark.createDataFrame(rows, schemas.FA_MODEL)
+
+    @staticmethod
+    def from_table(df: DataFrame) -> FactorModel:
+        """The model of a table of :meth:`to_table`; sizes that do not agree raise. A diagonal ``sigma`` is a part of one row."""
+        parts: dict[str, list] = {}
+        for r in df.orderBy("part", "nr").collect():  # rows of one model
+            parts.setdefault(r.part, []).append(r.vals)
+        arrays = {k: np.array(v) for k, v in parts.items()}
+        for k in ("mean", "H"):
+            if k in arrays:
+                arrays[k] = arrays[k][0]
+        if "sigma" in arrays and len(arrays["sigma"]) == 1:
+            arrays["sigma"] = arrays["sigma"][0]
+        if "mean" not in arrays or any(len(m) != len(arrays["mean"]) for m in arrays.values()):
+            raise ValueError("parts of the factor model do not agree in size")
+        return FactorModel(**arrays)
+
 
 def whitened(n: np.ndarray, f: np.ndarray, m: Mixture) -> np.ndarray:
     """First-order statistics centred and scaled by the mixture."""

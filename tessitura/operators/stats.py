@@ -7,6 +7,7 @@ driver is one (dim x dim) matrix, whatever the number of sessions. Tables are (m
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -83,15 +84,6 @@ def between_covariance(stats: DataFrame) -> np.ndarray:
     return moments(weighted, "v")[2] / n - np.outer(s, s) / n**2
 
 
-def covariance_cells(df: DataFrame, column: str, dims: int) -> DataFrame:
-    """(i, j, cov) of the first ``dims`` coefficients, as plain aggregates: for comparison in SQL."""
-    x = [F.get(column, F.lit(i)) for i in range(dims)]
-    cells = [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(dims) for j in range(i, dims)]
-    wide = df.agg(*cells)
-    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("cov")) for i in range(dims) for j in range(i, dims)])
-    return wide.select(F.inline(rows))
-
-
 def mahalanobis_matrix(stats: DataFrame) -> np.ndarray:
     """Inverse within-class covariance."""
     return np.linalg.inv(within_covariance(stats))
@@ -144,22 +136,40 @@ def apply_spectral_norm(stats: DataFrame, steps: list[tuple[np.ndarray, np.ndarr
     return stats
 
 
+#: Background vectors that a task holds as one matrix.
+HELD = 10_000
+
+
 def kernel(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(seg_a, seg_b, k): inner products of the background ``a`` with ``b``; ``a`` is a background list of
-    checked size (at most 20,000 vectors), held as one matrix by every task."""
-    rows = a.select("seg_id", "stat1").limit(20_001).toArrow()
-    if rows.num_rows > 20_000:
-        raise ValueError("the background list is larger than 20,000 vectors")
-    names, x = rows["seg_id"].to_pylist(), matrix(rows["stat1"]) if rows.num_rows else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if part.num_rows and names:
-                k = matrix(part["stat1"]) @ x.T
-                seg = np.repeat(np.asarray(part["seg_id"].to_pylist(), dtype=object), len(names))
-                yield pa.RecordBatch.from_arrays([pa.array(names * part.num_rows, pa.string()), pa.array(seg, pa.string()), pa.array(k.ravel())], ["seg_a", "seg_b", "k"])
-
-    return b.select("seg_id", "stat1").mapInArrow(run, "seg_a string, seg_b string, k double")
+    """(seg_a, seg_b, k): inner products of every row of the background ``a`` with every row of ``b``, both (seg_id, stat1).
+
+    The background meets ``b`` in slices of about HELD vectors, each a broadcast of that size; there is no limit to it.
+    """
+    slices = max(1, -(-a.count() // HELD))
+    parts = []
+    for i in range(slices):
+        rows = a.where(F.pmod(F.xxhash64("seg_id"), F.lit(slices)) == i).select("seg_id", "stat1").toArrow()
+        shared = a.sparkSession.sparkContext.broadcast((rows["seg_id"].to_pylist(), matrix(rows["stat1"]) if rows.num_rows else None))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, x = shared.value
+            for part in batches:
+                if part.num_rows and names:
+                    k = matrix(part["stat1"]) @ x.T
+                    seg = np.repeat(np.asarray(part["seg_id"].to_pylist(), dtype=object), len(names))
+                    yield pa.RecordBatch.from_arrays([pa.array(names * part.num_rows, pa.string()), pa.array(seg, pa.string()), pa.array(k.ravel())], ["seg_a", "seg_b", "k"])
+
+        parts.append(b.select("seg_id", "stat1").mapInArrow(run, "seg_a string, seg_b string, k double"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def gaussian_log_likelihood(df: DataFrame, v: np.ndarray, sigma: np.ndarray, u: np.ndarray | None = None, column: str = "stat1") -> float:
+    """Log-likelihood of all vectors about their mean under the covariance v v' + sigma (+ u u'), from their second moments.
+    ``sigma`` may be a diagonal."""
+    n, s, ss = moments(df, column)
+    cov = v @ v.T + (np.diag(sigma) if sigma.ndim == 1 else sigma) + (0 if u is None else u @ u.T)
+    scatter = ss - np.outer(s, s) / max(1, n)
+    return float(-0.5 * (n * (len(cov) * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1]) + np.trace(np.linalg.solve(cov, scatter))))
 
 
 def map_adapt(stats: DataFrame, mu: np.ndarray, r: float = 16.0, invcov: np.ndarray | None = None, w: np.ndarray | None = None) -> DataFrame:

@@ -77,10 +77,6 @@ def stats_total_covariance(s, d):
     return _matrix(s, ST.total_covariance(V.sessions(s, d)))
 
 
-def stats_covariance_cells(s, d):
-    return ST.covariance_cells(V.sessions(s, d), "stat1", 8).select("i", "j", F.round("cov", R).alias("cov"))
-
-
 def stats_within_covariance(s, d):
     return _matrix(s, ST.within_covariance(V.sessions(s, d)))
 
@@ -135,19 +131,6 @@ def score_svm(s, d):
     return SC.svm(_trials(x), enroll.select("model_id", F.col("v").alias("w"), F.lit(-0.5).alias("b")), test).withColumn("score", F.round("score", R))
 
 
-def score_two_covariance(s, d):
-    x = _scoring(s, d)
-    w = ST.within_covariance(x)
-    return SC.two_covariance(_trials(x), *_sides(x), w + 0.01 * np.eye(64), ST.between_covariance(x) + 0.01 * np.eye(64))
-
-
-def score_gaussian_backend(s, d):
-    """Sessions against the languages of their segments."""
-    langs = table(s, d, "segment_registry").where("lang is not null").groupBy("seg_id").agg(F.min("lang").alias("model_id"))
-    x = V.sessions(s, d).drop("model_id").join(langs, "seg_id")
-    return SC.gaussian_backend_test(SC.first_of(x, "seg_id"), SC.gaussian_backend_train(x), diag=True)
-
-
 def _frames(s, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(s, d, "events").select("event_id", "user_id", "ts", "value", "event_type", F.get_json_object("props", "$.k").cast("double").alias("k"))
@@ -241,8 +224,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         vectors_length_norm, vectors_center, vectors_whiten_diag, vectors_rotate, vectors_posteriors, sessions_subtract_weighted,
-        stats_sum_per_model, stats_mean_per_model, stats_mean, stats_total_covariance, stats_covariance_cells, stats_within_covariance, stats_between_covariance,
-        map_adapt, map_adapt_multisession, score_cosine, score_mahalanobis, score_svm, score_two_covariance, score_gaussian_backend,
+        stats_sum_per_model, stats_mean_per_model, stats_mean, stats_total_covariance, stats_within_covariance, stats_between_covariance,
+        map_adapt, map_adapt_multisession, score_cosine, score_mahalanobis, score_svm,
         frames_delta, frames_sdc, frames_context, frames_cms, frames_cmvn, frames_sliding_norm, frames_rasta, frames_gaussianise, frames_vad_percentile,
         frames_vad_energy, frames_smooth_labels, frames_labels_to_intervals, frames_intervals_to_frames, frames_pre_emphasis, frames_framing,
         frames_segments, frames_tandem, frames_moments,
@@ -290,7 +273,6 @@ SQL = {
     "stats_mean_per_model": f"with {_PM} select model_id, i, round(m, {R}) as x from m",
     "stats_mean": f"with {_U} select i, round(avg(x), {R}) as x from u group by 1",
     "stats_total_covariance": f"with {_U} select a.i, b.i as j, round(covar_pop(a.x, b.x), {R}) as cov from u a join u b using (pos) group by 1, 2",
-    "stats_covariance_cells": f"with {_U} select a.i, b.i as j, round(covar_pop(a.x, b.x), {R}) as cov from u a join u b using (pos) where a.i <= b.i and b.i < 8 group by 1, 2",
     "stats_within_covariance": f"with {_PM}, z as (select pos, i, x - m as x from u join m using (model_id, i)) select a.i, b.i as j, round(sum(a.x * b.x) / (select count(*) from ss), {R}) as cov from z a join z b using (pos) group by 1, 2",
     "stats_between_covariance": f"with {_PM}, g as (select i, avg(x) as g from u group by 1), z as (select model_id, i, n, m - g as x from m join g using (i)) select a.i, b.i as j, round(sum(a.n * a.x * b.x) / (select count(*) from ss), {R}) as cov from z a join z b using (model_id) group by 1, 2",
     "map_adapt": f"with {_U} select u.pos, i, round(x / (stat0[1] + 16) + 16 / (stat0[1] + 16) * 0.25, {R}) as x from u join ss using (pos)",

@@ -11,7 +11,7 @@ from tessitura.operators import codecs
 from tessitura.operators import scoring as SC
 from tessitura.operators import stats as ST
 from tessitura.plans import views as V
-from tessitura.plans.feature_queries import _cells, _frames, _scoring, _sides, _trials
+from tessitura.plans.feature_queries import _cells, _frames
 from tessitura.plans.tables import table
 from tessitura.signal import extract as X
 
@@ -65,34 +65,6 @@ def session_vectors(s, d):
     return factors.extract(st, MIX, model)
 
 
-def score_plda(s, d):
-    x = _scoring(s, d)
-    model = factors.plda(x.select("model_id", "stat1"), 16, 3)
-    return SC.fast_plda(_trials(x), *_sides(x), model.mean, model.F, model.sigma)
-
-
-def project_lda(s, d):
-    from tessitura.operators.vectors import rotate
-
-    x = V.sessions(s, d)
-    return rotate(x.select("pos", F.col("stat1").alias("v")), "v", ST.lda(x, 8))
-
-
-def remove_nap(s, d):
-    x = V.sessions(s, d)
-    return ST.remove_directions(x.select("pos", F.col("stat1").alias("v")), "v", ST.nap(x, 4))
-
-
-def score_cosine_wccn(s, d):
-    x = _scoring(s, d)
-    return SC.cosine(_trials(x), *_sides(x), ST.wccn(x))
-
-
-def spectral_normalise(s, d):
-    x = V.sessions(s, d).select("pos", "model_id", "stat0", "stat1")
-    return ST.apply_spectral_norm(x, ST.spectral_norm(x, 1)).select("pos", "stat1")
-
-
 def svm_machines(s, d):
     """One machine for every model against the mean vectors of all models."""
     x = V.sessions(s, d)
@@ -124,8 +96,7 @@ def frequency_scales(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        gmm_log_likelihood, gmm_component_log_density, gmm_statistics, gmm_em_step, gmm_fit, gmm_scores, session_vectors, score_plda, project_lda, remove_nap,
-        score_cosine_wccn, spectral_normalise, svm_machines, post_processing, codec_percentile, codec_linear, frequency_scales,
+        gmm_log_likelihood, gmm_component_log_density, gmm_statistics, gmm_em_step, gmm_fit, gmm_scores, session_vectors, svm_machines, post_processing, codec_percentile, codec_linear, frequency_scales,
     )
 }
 

@@ -12,7 +12,7 @@ SCORES = "model_id string, seg_id string, score double"
 STATS = "model_id string, seg_id string, start int, stop int, stat0 array<double>, stat1 array<double>"
 VECTORS = "model_id string, seg_id string, v array<double>"
 MIXTURE = "g int, w double, mu array<double>, invcov array<double>"
-FA_MODEL = "part string, row int, vals array<double>"
+FA_MODEL = "part string, nr int, vals array<double>"
 FRAMES = "show string, channel int, frame_idx int, energy float, cep array<float>, fb array<float>, bnf array<float>, vad boolean"
 AUDIO = "show string, channel int, sample_rate int, samples array<float>"
 SEGMENTS = "show string, t_start double, t_stop double, label string"
