@@ -168,22 +168,10 @@ def frames_sliding_norm(s, d):
     return _out(FR.sliding_norm(_frames(s, d), 2, win=31, reduce=True))
 
 
-def frames_rasta(s, d):
-    return _out(FR.rasta(_frames(s, d)))
-
-
-def frames_gaussianise(s, d):
-    return _out(FR.gaussianise(_frames(s, d), win=31))
-
-
 def frames_vad_percentile(s, d):
     return FR.vad_percentile(_frames(s, d), 30.0).select("show", "frame_idx", "vad")
 
 
-def frames_vad_energy(s, d):
-    return FR.vad_energy(_frames(s, d)).select("show", "frame_idx", "vad")
-
-
 def frames_smooth_labels(s, d):
     return FR.smooth_labels(_frames(s, d)).select("show", "frame_idx", "vad")
 
@@ -226,8 +214,7 @@ QUERIES = {
         vectors_length_norm, vectors_center, vectors_whiten_diag, vectors_rotate, vectors_posteriors, sessions_subtract_weighted,
         stats_sum_per_model, stats_mean_per_model, stats_mean, stats_total_covariance, stats_within_covariance, stats_between_covariance,
         map_adapt, map_adapt_multisession, score_cosine, score_mahalanobis, score_svm,
-        frames_delta, frames_sdc, frames_context, frames_cms, frames_cmvn, frames_sliding_norm, frames_rasta, frames_gaussianise, frames_vad_percentile,
-        frames_vad_energy, frames_smooth_labels, frames_labels_to_intervals, frames_intervals_to_frames, frames_pre_emphasis, frames_framing,
+        frames_delta, frames_sdc, frames_context, frames_cms, frames_cmvn, frames_sliding_norm, frames_vad_percentile, frames_smooth_labels, frames_labels_to_intervals, frames_intervals_to_frames, frames_pre_emphasis, frames_framing,
         frames_segments, frames_tandem, frames_moments,
     )
 }

@@ -13,7 +13,6 @@ from tessitura.operators import stats as ST
 from tessitura.plans import views as V
 from tessitura.plans.feature_queries import _cells, _frames
 from tessitura.plans.tables import table
-from tessitura.signal import extract as X
 
 # A mixture of three components over (value / 100, k / 50) of the events.
 MIX = gmm.Mixture(np.array([0.5, 0.3, 0.2]), np.array([[0.3, 0.5], [1.0, 1.0], [2.0, 1.5]]), np.array([[0.2, 0.3], [0.5, 0.4], [1.0, 0.6]]))
@@ -71,12 +70,6 @@ def svm_machines(s, d):
     return svm.train(x.select("model_id", F.col("stat1").alias("v")), SC.mean_of(x))
 
 
-def post_processing(s, d):
-    f = _frames(s, d).select("show", "frame_idx", "cep", "vad")
-    out = X.post_process(f, X.PostProcessing(mask="[0-1]", delta=True, norm="cmvn", keep_all=False))
-    return out.withColumnRenamed("show", "show_id")
-
-
 def codec_percentile(s, d):
     out = codecs.percentile_round_trip(_frames(s, d).select("show", "frame_idx", "cep"), "cep", ["show"], ["frame_idx"])
     return out.select(F.col("show").alias("show_id"), "frame_idx", "i", "code")
@@ -96,7 +89,7 @@ def frequency_scales(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        gmm_log_likelihood, gmm_component_log_density, gmm_statistics, gmm_em_step, gmm_fit, gmm_scores, session_vectors, svm_machines, post_processing, codec_percentile, codec_linear, frequency_scales,
+        gmm_log_likelihood, gmm_component_log_density, gmm_statistics, gmm_em_step, gmm_fit, gmm_scores, session_vectors, svm_machines, codec_percentile, codec_linear, frequency_scales,
     )
 }
 

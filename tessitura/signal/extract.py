@@ -31,6 +31,7 @@ class Extraction:
     preemphasis: float = 0.97
     use_rasta: bool = False
     snr: float | None = None
+    dither: float = 1e-6
 
 
 SCHEMA = "show string, channel int, frame_idx long, energy double, cep array<double>, fb array<double>, vad boolean"
@@ -40,14 +41,14 @@ def extract(audio: DataFrame, e: Extraction = Extraction()) -> DataFrame:
     """(show, channel, frame_idx, energy, cep, fb, vad) of every signal (show, channel, sample_rate, samples).
 
     Signals too short for a frame, null or constant ones give frames only as far as they have any; a dither of
-    fixed seed keeps logarithms finite. ``vad`` is by signal-to-noise ratio where ``snr`` is set, else true.
+    fixed seed and size ``dither`` keeps logarithms apart. ``vad`` is by signal-to-noise ratio where ``snr`` is set, else true.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for show, channel, fs, samples in zip(*(b[c].to_pylist() for c in ("show", "channel", "sample_rate", "samples"))):
                 x = np.asarray(samples or [], dtype=np.float64)
-                x = x + 1e-6 * np.random.default_rng(0).normal(size=len(x))
+                x = x + e.dither * np.random.default_rng(0).normal(size=len(x))
                 if len(x) < int(round(e.window * fs)):
                     continue
                 if e.kind == "plp":
