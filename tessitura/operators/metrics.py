@@ -211,6 +211,40 @@ def pav(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(level, width), np.array(width, dtype=int)
 
 
+def pav_pools(roc: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, upto_score, n_target, n_nontarget, p): the pools of the isotonic regression of labels on scores, those of equal
+    scores being one. They are the edges of the ROC's convex hull, found block by block, so no task pools all scores.
+
+    ``upto_score`` is the highest score of a pool, null for the last one, which has no upper end.
+    """
+    by = by or []
+    hull = rocch(roc, by).select(*by, "n_miss", "n_fa")
+    top = roc.groupBy(*by).agg(F.max("n_miss").alias("n_miss"), F.lit(0).cast("long").alias("n_fa"))
+    marks = hull.unionByName(top).distinct()  # above the last nontarget the hull ends, the regression does not
+    scored = roc.groupBy(*by, "n_miss", "n_fa").agg(F.max("score").alias("upto_score"))
+    on = [marks[c].eqNullSafe(scored[c]) for c in by] + [marks[c] == scored[c] for c in ("n_miss", "n_fa")]
+    marks = marks.join(scored, on, "left").select(*[marks[c] for c in (*by, "n_miss", "n_fa")], "upto_score")
+    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.col("n_fa").desc(), "n_miss")
+    t, n = F.col("n_miss") - F.lag("n_miss").over(w), F.lag("n_fa").over(w) - F.col("n_fa")
+    last = F.lead("n_fa").over(w).isNull()
+    pools = marks.select(*by, F.when(~last, F.col("upto_score")).alias("upto_score"), t.alias("n_target"), n.alias("n_nontarget"))
+    return pools.where("n_target + n_nontarget > 0").withColumn("p", F.col("n_target") / (F.col("n_target") + F.col("n_nontarget")))
+
+
+def filter_points(roc: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The ROC without the inner points of its horizontal and vertical runs: a point stays unless others with the same
+    ``n_miss`` lie on both sides of it, or others with the same ``n_fa``."""
+    by = by or []
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in by] + [F.col(c).isNull().alias(f"_null_{c}") for c in by]
+    marked = roc.select("*", *keys)
+    names = [f"_{c}" for c in by] + [f"_null_{c}" for c in by]
+    for a, b in (("n_miss", "n_fa"), ("n_fa", "n_miss")):
+        ends = marked.groupBy(*names, a).agg(F.min(b).alias(f"_lo_{b}"), F.max(b).alias(f"_hi_{b}"))
+        marked = marked.join(ends, [*names, a])
+    inner = [(F.col(c) > F.col(f"_lo_{c}")) & (F.col(c) < F.col(f"_hi_{c}")) for c in ("n_fa", "n_miss")]
+    return marked.where(~(inner[0] | inner[1])).select(*roc.columns)
+
+
 def filter_roc(p_miss: np.ndarray, p_fa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leaves out the inner points of horizontal and vertical runs, compared with the last point kept."""
     keep = [0]

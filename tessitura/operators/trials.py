@@ -5,7 +5,7 @@ Where the order of a list decides (first or last match), the list carries a posi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -211,6 +211,47 @@ def model_index(df: DataFrame) -> DataFrame:
     return running(ids, ["model_id"], {"model_idx": "_one"}).select("model_id", (F.col("model_idx") - 1).alias("model_idx"))
 
 
+def indexed(df: DataFrame, column: str, order: str | None = None) -> DataFrame:
+    """``df`` with ``_index``: the rank from 0 of ``column`` among its distinct sorted values, or with ``order`` of the row
+    itself in that order; counted without a global window."""
+    from tessitura.operators.prefix import running
+
+    if order:
+        return running(df.withColumn("_one", F.lit(1)), [order, column], {"_index": "_one"}).withColumn("_index", F.col("_index") - 1).drop("_one")
+    ids = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_id")).distinct().withColumn("_one", F.lit(1))
+    ids = running(ids, ["_id"], {"_index": "_one"}).select("_id", (F.col("_index") - 1).alias("_index"))
+    return df.join(ids, F.col(column) == F.col("_id")).drop("_id")
+
+
+def sessions_of(stats: DataFrame, column: str, value: str) -> DataFrame:
+    """Sessions of a model or of a segment: a filter that reaches the scan."""
+    return stats.where(F.col(column) == value)
+
+
+def sessions_of_index(stats: DataFrame, column: str, index: int) -> DataFrame:
+    """Sessions of the model (or segment) with the given rank among the sorted ones, from 0."""
+    return indexed(stats, column).where(F.col("_index") == index).drop("_index")
+
+
+def session_at(stats: DataFrame, index: int, order: str = "pos") -> DataFrame:
+    """The session with the given rank in the order of the list, from 0."""
+    return indexed(stats, "seg_id", order).where(F.col("_index") == index).drop("_index")
+
+
+def iterate_sessions(stats: DataFrame, order: str = "pos") -> Iterator[tuple[list[float], list[float]]]:
+    """(stat0, stat1) of one session after the other; the driver holds one partition at a time."""
+    for r in stats.orderBy(order).select("stat0", "stat1").toLocalIterator():
+        yield r.stat0, r.stat1
+
+
+def from_dense(df: DataFrame) -> DataFrame:
+    """(model_id, seg_id, value) of the set cells of dense artefacts: rows (modelset, segset, matrix, mask) with arrays of
+    ids and arrays of rows, as array files keep them. A null mask sets all cells."""
+    by_row = df.select("segset", F.posexplode(F.arrays_zip(F.col("modelset").alias("m"), F.col("matrix").alias("v"), F.coalesce("mask", F.transform("modelset", lambda _: F.lit(None).cast("array<boolean>"))).alias("k"))).alias("_r", "_row"))
+    cells = by_row.select(F.col("_row.m").alias("model_id"), F.explode(F.arrays_zip(F.col("segset").alias("s"), F.col("_row.v").alias("v"), F.coalesce("_row.k", F.transform("segset", lambda _: F.lit(True))).alias("k"))).alias("_c"))
+    return cells.where("_c.k").select("model_id", F.col("_c.s").alias("seg_id"), F.col("_c.v").alias("value"))
+
+
 def existing_files(ids: DataFrame, listing: DataFrame, pattern: str, column: str = "show") -> DataFrame:
     """Ids whose formatted path is in a listing (path); ``pattern`` has one ``{}``."""
     path: Column = F.format_string(pattern.replace("{}", "%s"), F.col(column))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tessitura.operators import codecs
 from tessitura.operators import frames as FR
-from tessitura.operators import metrics as M
 from tessitura.operators.vectors import lists
 from tessitura.plans.feature_queries import _DELTA, _FR, _RUNS, EPS, R, _at, _cells, _frames, _lagged, _out, frames_labels_to_intervals
+from tessitura.plans.sql import sql_probit
 from tessitura.signal import extract as X
 from tessitura.signal import kernels as K
 
@@ -146,27 +146,6 @@ QUERIES |= {k: (lambda s, d, f=f: f(s, d).withColumnRenamed("show", "show_id"))
 # -- SQL ------------------------------------------------------------------------------------------
 
 
-def _ratio(c: tuple, x: str) -> str:
-    def horner(v: tuple) -> str:
-        out = repr(v[-1])
-        for k in reversed(v[:-1]):
-            out = f"({out} * {x} + {k!r})"
-        return out
-
-    return f"{horner(c[0])} / {horner(c[1])}"
-
-
-def sql_probit(p: str) -> str:
-    """Normal quantile of an expression in (0, 1), by the same published approximation."""
-    r = f"sqrt(-ln(least({p}, 1 - {p})))"
-    tail = f"case when {r} <= 5 then {_ratio(M.NEAR, f'({r} - 1.6)')} else {_ratio(M.FAR, f'({r} - 5)')} end"
-    return f"(case when abs({p} - 0.5) <= 0.425 then ({p} - 0.5) * {_ratio(M.CENTRE, f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))')} else sign({p} - 0.5) * {tail} end)"
-
-
-def _values(name: str, columns: str, rows: list[tuple]) -> str:
-    return f"{name}({columns}) as (values {', '.join('(' + ', '.join(map(repr, r)) + ')' for r in rows)})"
-
-
 _RASTA = [(0, 0.2), (-1, 0.1), (-3, -0.1), (-4, -0.2)]
 _FIR = " + ".join(f"{w} * coalesce(c{n}.x, 0)" for n, (_, w) in enumerate(_RASTA))
 

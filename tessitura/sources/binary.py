@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 import wave
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.models.gmm import Mixture
+from tessitura.operators.vectors import lists
 from tessitura.signal.kernels import decimate, mu_law_to_linear
 
 # -- audio ----------------------------------------------------------------------------------------
@@ -227,7 +229,7 @@ def read_frames(spark: SparkSession, path: str, decode: Callable[[bytes], np.nda
         for b in batches:
             for show, raw in zip(b["show"].to_pylist(), b["content"].to_pylist()):
                 x = decode(raw)
-                yield pa.RecordBatch.from_arrays([pa.array([show] * len(x), pa.string()), pa.array(range(len(x)), pa.int64()), pa.array([r.tolist() for r in x], pa.list_(pa.float64()))], ["show", "frame_idx", "cep"])
+                yield pa.RecordBatch.from_arrays([pa.array([show] * len(x), pa.string()), pa.array(range(len(x)), pa.int64()), lists(x)], ["show", "frame_idx", "cep"])
 
     files = spark.read.format("binaryFile").load(path).select(_show().alias("show"), "content")
     return files.mapInArrow(run, "show string, frame_idx long, cep array<double>")
@@ -244,21 +246,44 @@ def speech_frames(frames: DataFrame, segments: DataFrame, label: str = "speech",
     return frames.join(intervals_to_frames(segments, fps, label), ["show", "frame_idx"], "left_semi")
 
 
+def read_frame_segments(spark: SparkSession, path: str, decode: Callable[[bytes], np.ndarray], segments: DataFrame) -> DataFrame:
+    """(seg_id, frame, cep): frames [start, stop) of the files named by ``segments`` (seg_id, show, start, stop). Indices
+    beyond a file repeat its end frame, a null bound is the file's own end; only these frames leave the decoder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for seg, raw, start, stop in zip(*(b[c].to_pylist() for c in ("seg_id", "content", "start", "stop"))):
+                x = decode(raw)
+                at = np.arange(0 if start is None else start, len(x) if stop is None else stop)
+                if len(x) and len(at):
+                    rows = x[np.clip(at, 0, len(x) - 1)].astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([seg] * len(at), pa.string()), pa.array(at, pa.int64()), lists(rows)], ["seg_id", "frame", "cep"])
+
+    files = spark.read.format("binaryFile").load(path).select(_show().alias("show"), "content")
+    wanted = segments.select("seg_id", "show", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    return files.join(wanted, "show").select("seg_id", "content", "start", "stop").mapInArrow(run, "seg_id string, frame long, cep array<double>")
+
+
 def write_files(df: DataFrame, path: str, encode: Callable[[dict], bytes], suffix: str) -> DataFrame:
-    """Writes one file a row into an existing shared folder and returns (show, path). A file appears whole or not
-    at all: it is written beside its place and renamed, so a repeated task does no harm."""
-    import os
+    """Writes one file a row into a folder that all executors reach, a path or a URI of a file system that Arrow knows
+    (local, HDFS, object stores), and returns (show, path). A file appears whole or not at all: it is written beside its place
+    and renamed, so a repeated task does no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        system, root = FileSystem.from_uri(path)
+        system.create_dir(root, recursive=True)
         for b in batches:
             shows, paths = [], []
             for row in b.to_pylist():
-                at = os.path.join(path, f"{row['show']}{suffix}")
-                with open(f"{at}.{os.getpid()}.part", "wb") as f:
+                name, at = f"{row['show']}{suffix}", f"{root.rstrip('/')}/{row['show']}{suffix}"
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as f:
                     f.write(encode(row))
-                os.replace(f"{at}.{os.getpid()}.part", at)
+                system.move(part, at)
                 shows.append(row["show"])
-                paths.append(at)
+                paths.append(f"{path.rstrip('/')}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array(shows, pa.string()), pa.array(paths, pa.string())], ["show", "path"])
 
     return df.mapInArrow(run, "show string, path string")

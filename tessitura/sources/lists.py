@@ -66,10 +66,13 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.size("f") >= 3).select("show", _at(0).cast("double").alias("t_start"), _at(1).cast("double").alias("t_stop"), _at(2).alias("label"))
 
 
-def write_labels(segments: DataFrame, path: str) -> None:
-    """One folder a show, lines in order of time with four decimals."""
-    line = F.format_string("%.4f %.4f %s", "t_start", "t_stop", "label")
-    segments.repartition("show").sortWithinPartitions("show", "t_start").select("show", line.alias("value")).write.mode("overwrite").partitionBy("show").text(path)
+def write_labels(segments: DataFrame, path: str, suffix: str = ".lbl") -> None:
+    """One file a show in one folder, lines in order of time with four decimals."""
+    from tessitura.sources.binary import write_files
+
+    line = F.struct("t_start", F.format_string("%.4f %.4f %s", "t_start", "t_stop", "label").alias("line"))
+    lines = segments.groupBy("show").agg(F.array_sort(F.collect_list(line)).alias("lines"))  # the segments of one recording
+    write_files(lines, path, lambda r: "".join(x["line"] + "\n" for x in r["lines"]).encode(), suffix).write.format("noop").mode("overwrite").save()
 
 
 def read_alignment(spark: SparkSession, path: str) -> DataFrame:
