@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessitura.plans import feature_queries, general, matrix_queries, model_queries, signal_queries, trial_queries
+from tessitura.plans import feature_queries, general, io_queries, matrix_queries, model_queries, signal_queries, trial_queries
 
-MODULES = [general, trial_queries, feature_queries, matrix_queries, model_queries, signal_queries]
+MODULES = [general, trial_queries, feature_queries, matrix_queries, model_queries, signal_queries, io_queries]
 FLAGSHIP = "eer_by_source"
 
 

@@ -279,3 +279,45 @@ def test_jfa_scores_equal_the_dense_formula(spark, parts):
             if "u" in parts:
                 f = f - n * (u @ dense(n, f, u))
             assert abs(got[(model_id, r.seg_id)] - offset @ f / np.sum(r.stat0)) < 1e-9
+
+
+def test_gradients_are_those_of_the_loss():
+    from tessitura.models import networks as NN
+    from tessitura.models import training as TR
+
+    rng = np.random.default_rng(4)
+    small = NN.Network([NN.Layer(rng.normal(size=(3, 2, 4)) * 0.5, rng.normal(size=4) * 0.1, "leaky"), NN.Layer(rng.normal(size=(2, 4, 3)) * 0.5, np.zeros(3), "tanh", 2, np.full(3, 0.1), np.full(3, 2.0))], [NN.Layer(rng.normal(size=(6, 5)), np.zeros(5), "sigmoid"), NN.Layer(rng.normal(size=(5, 3)), np.zeros(3), "softmax")])
+    ff = NN.random_network([4, 6, 3], 2)
+    for net, x in ((small, rng.normal(size=(5, 9, 2))), (ff, rng.normal(size=(7, 4)))):
+        y = rng.integers(0, 3, len(x))
+        g, _ = TR.gradient(net, x, y)
+        v = TR.parameters(net)
+        assert np.array_equal(TR.parameters(TR.with_parameters(net, v)), v) and len(g) == len(v)
+        for i in rng.choice(len(v), 12, replace=False):
+            e = np.zeros(len(v))
+            e[i] = 1e-6
+            up, down = (TR.gradient(TR.with_parameters(net, v + s * e), x, y)[1] for s in (1, -1))
+            assert abs((up - down) / 2e-6 - g[i]) < 1e-4 * max(1, abs(g[i]))
+
+
+def test_networks_learn_planted_classes(spark):
+    from tessitura.models import networks as NN
+    from tessitura.models import training as TR
+
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(3, 4)) * 2
+    rows = [(str(i), i % 3, (centre[i % 3] + rng.normal(size=4)).tolist()) for i in range(900)] + [("n", None, [0.0] * 4), (None, 1, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "key string, label int, x array<double>")
+    t = TR.Training(epochs=6, batches=3, rate=0.05, held_out=0.2, l2=1e-5)
+    net = TR.train(df, NN.random_network([4, 8, 3]), t)
+    x = np.array([r[2] for r in rows[:900]])
+    ideal = (((x[:, None] - centre) ** 2).sum(2).argmin(1) == np.arange(900) % 3).mean()  # the rule of the planted centres
+    assert (net.forward(x).argmax(1) == np.arange(900) % 3).mean() > ideal - 0.02 and t.history[-1][1] < t.history[0][1]
+    # segments that differ in how their frames vary, not in their mean
+    seg = [(str(i), i % 2, (rng.normal(size=(20, 2)) * (1 + i % 2)).ravel().tolist()) for i in range(240)]
+    s = spark.createDataFrame(seg, "key string, label int, x array<double>")
+    u = TR.Training(epochs=12, batches=2, rate=0.02)
+    start = NN.Network([NN.Layer(rng.normal(size=(3, 2, 6)) * 0.4, np.zeros(6), "leaky"), NN.Layer(rng.normal(size=(1, 6, 6)) * 0.4, np.zeros(6), "leaky")], [NN.Layer(rng.normal(size=(12, 8)) * 0.4, np.zeros(8), "leaky"), NN.Layer(rng.normal(size=(8, 2)) * 0.4, np.zeros(2), "softmax")])
+    net = TR.train(s, start, u, frames=20)
+    got = [int(np.argmax(net.embed(np.array(x).reshape(20, 2), 2))) for _, _, x in seg]
+    assert np.mean(np.array(got) == np.arange(240) % 2) > 0.85
