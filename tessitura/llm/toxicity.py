@@ -5,7 +5,8 @@ rest of the text does not dilute it. Clauses are scored by a linear model over w
 (Chinese: characters), after undoing the usual disguises. The model is fitted by non-negative
 positive-unlabelled learning: documents confirmed as toxic are the positives, a sample of all documents is
 unlabelled, and the risk is corrected by the class prior, which is estimated from what the model finds among
-unconfirmed documents and its recall of held-out positives. Only the fit uses a sample; every text is scored in full.
+unconfirmed documents and its recall of held-out positives. Only the fit uses a sample; the vocabulary comes from the
+document frequencies of all texts, and every text is scored in full.
 """
 
 from __future__ import annotations
@@ -21,12 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.workspace import bounded_sample
+from tessitura.workspace import Workspace, bounded_sample
 
 #: Documents the fit may read: confirmed positives, and unlabelled ones (by the hash of their id).
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 8_000
 #: Characters of all texts that the fit may read (the driver's memory); whole texts, as many as fit.
 MAX_FIT_CHARS = 40_000_000
+#: A word is known if it occurs in this share of all documents and in LEAST of them, or in two confirmed ones. So there are at
+#: most as many words as an average document has, over the share, whatever the number of documents.
+WORD_SHARE, LEAST = 3 / 8000, 3
+#: Different words that a task counts before it hands them on.
+COUNTED = 500_000
 #: Hashed dimensions of pairs and triples.
 DIMENSIONS = 1 << 20
 #: Class prior that the first fit assumes.
@@ -269,20 +275,49 @@ def _worst(t: Tokens, model: ToxicityModel, shorten: bool) -> tuple[np.ndarray,
     return s[last], last
 
 
-def fit(positive: list[str], unlabelled: list[str], confirmed: np.ndarray, prior: float = PRIOR, rounds: int = 5, steps: int = 40, rate: float = 0.4, l2: float = 6e-6) -> ToxicityModel:
+def _wordlike(w: str) -> bool:
+    return not w.isdigit() and w not in _ENDS and w not in _COMMAS and "*" not in w and not (len(w) == 1 and "a" <= w <= "z")
+
+
+def document_frequencies(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): number of documents that every word occurs in, over all texts; null and empty ones have none."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            words = [w for w in seen if _wordlike(w)]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
+
+        for b in batches:
+            for t in b[0].to_pylist():
+                if t:
+                    seen.update(set(_TOKEN(_clean(t))))
+            if len(seen) > COUNTED:
+                yield out()
+                seen = Counter()
+        yield out()
+
+    return texts.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fit(positive: list[str], unlabelled: list[str], confirmed: np.ndarray, prior: float = PRIOR, rounds: int = 5, steps: int = 40, rate: float = 0.4, l2: float = 6e-6, frequent: list[str] | None = None) -> ToxicityModel:
     """Fit by non-negative PU learning over the worst clause of every text.
 
     ``confirmed`` marks the unlabelled texts that are among the confirmed ones. The share of the other texts
     that the model finds, over its recall of the positives held out of the round, gives the class prior of the next
-    round.
+    round. ``frequent`` are the words known from all documents; without it they are counted among the unlabelled texts.
     Without positives or unlabelled texts nothing is found toxic.
     """
-    df = Counter()
-    in_positive = Counter()
-    for group, counter in ((positive, in_positive), (unlabelled, df)):
-        for x in group:
-            counter.update(set(_TOKEN(_clean(x))))
-    words = sorted(w for w in df.keys() | in_positive.keys() if (df[w] >= 3 or in_positive[w] >= 2) and not w.isdigit() and w not in _ENDS and w not in _COMMAS and "*" not in w and not (len(w) == 1 and "a" <= w <= "z"))
+    in_positive: Counter = Counter()
+    for x in positive:
+        in_positive.update(set(_TOKEN(_clean(x))))
+    if frequent is None:
+        df: Counter = Counter()
+        for x in unlabelled:
+            df.update(set(_TOKEN(_clean(x))))
+        frequent = [w for w, n in df.items() if n >= LEAST]
+    words = sorted(w for w in {*frequent, *(w for w, n in in_positive.items() if n >= 2)} if _wordlike(w))
     vocabulary = Vocabulary(words)
     n = FIRST_WORD + len(words)
     model = ToxicityModel(vocabulary, np.zeros(n + DIMENSIONS + 1), -5.0, prior)
@@ -343,24 +378,35 @@ def fit(positive: list[str], unlabelled: list[str], confirmed: np.ndarray, prior
     return model
 
 
-def _bounded(df: DataFrame, chars: int) -> pa.Table:
-    """Whole rows in the order of their hash, at most ``chars`` in all."""
-    t = df.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    total = np.cumsum([len(x) for x in t["text"].to_pylist()])
-    return t.slice(0, int(np.searchsorted(total, chars, side="right")))
+def _bounded(ids: DataFrame, texts: DataFrame, chars: int) -> pa.Table:
+    """Whole texts of the sample ``ids`` in the order of their hash, as many as fit into ``chars`` in all; a text that does
+    not fit any more is passed over. Lengths are weighed before any text comes to the driver."""
+    sizes = texts.join(ids, "doc_id").select("doc_id", F.char_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    kept, left = [], chars
+    for doc, n in zip(sizes["doc_id"].to_pylist(), sizes["n"].to_pylist()):
+        if n <= left:
+            kept.append((doc,))
+            left -= n
+    chosen = F.broadcast(texts.sparkSession.createDataFrame(kept, "doc_id long"))  # at most the sample's rows
+    return texts.join(ids, "doc_id").join(chosen, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
 
 
 def train(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Fit on documents confirmed as toxic (by a reviewer, and not called clean by as many others) and on a
     sample of all. Contradicting labels count as a vote; a tie confirms nothing."""
+    ws = Workspace(documents.sparkSession, "toxicity")
     vote = F.when(F.col("label").isin(*TOXIC), 1).when(F.col("label") == "clean", -1)
     confirmed = labels.groupBy("doc_id").agg(F.sum(vote).alias("votes")).where("votes > 0").select("doc_id", F.lit(True).alias("confirmed"))
     texts = documents.where("text is not null and text <> ''").select("doc_id", "text")
-    chosen = bounded_sample(confirmed, "doc_id", MAX_POSITIVE, labels.count())
-    positive = _bounded(texts.join(chosen.select("doc_id"), "doc_id", "left_semi"), MAX_FIT_CHARS // 2)
-    sample = bounded_sample(texts, "doc_id", MAX_UNLABELLED, documents.count())
-    unlabelled = _bounded(sample.join(confirmed, "doc_id", "left").select("doc_id", "text", F.coalesce("confirmed", F.lit(False)).alias("confirmed")), MAX_FIT_CHARS // 2)
-    return fit(positive["text"].to_pylist(), unlabelled["text"].to_pylist(), np.asarray(unlabelled["confirmed"].to_pylist(), dtype=bool))
+    n = documents.count()
+    chosen = ws.write(bounded_sample(confirmed, "doc_id", MAX_POSITIVE, labels.count()).select("doc_id"), "confirmed")
+    positive = _bounded(F.broadcast(chosen), texts, MAX_FIT_CHARS // 2)  # at most MAX_POSITIVE ids
+    sample = bounded_sample(texts.select("doc_id"), "doc_id", MAX_UNLABELLED, n)
+    sample = ws.write(sample.join(confirmed, "doc_id", "left").select("doc_id", F.coalesce("confirmed", F.lit(False)).alias("confirmed")), "sample")
+    unlabelled = _bounded(F.broadcast(sample), texts, MAX_FIT_CHARS // 2)  # at most MAX_UNLABELLED ids
+    counts = document_frequencies(texts).where(F.col("n") >= max(LEAST, WORD_SHARE * n))
+    frequent = [r.word for r in counts.collect()]  # bounded by WORD_SHARE
+    return fit(positive["text"].to_pylist(), unlabelled["text"].to_pylist(), np.asarray(unlabelled["confirmed"].to_pylist(), dtype=bool), frequent=frequent)
 
 
 def score(documents: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text") -> DataFrame:

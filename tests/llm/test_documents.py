@@ -223,3 +223,18 @@ def test_scores_do_not_depend_on_the_batch():
     together = m.scores(texts)
     assert np.allclose(together, [m.scores([t])[0] for t in texts])
     assert together[3] > 0.5 and together[9] > 0.5 and together[-4] == 0
+
+
+def test_document_frequencies_cover_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "COUNTED", 3)
+    texts = ["The valve, the spring. 12", "valve valve a", None, "", "Spring 弹簧"]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], DOCS)
+    got = {r.word: r.n for r in toxicity.document_frequencies(df).collect()}
+    assert got == {"the": 1, "valve": 2, "spring": 2, "弹": 1, "簧": 1}
+
+
+def test_texts_of_the_fit_are_weighed_before_they_are_read(spark):
+    df = spark.createDataFrame([(i, "x" * (5000 if i == 3 else 10)) for i in range(20)], "doc_id long, text string")
+    got = toxicity._bounded(df.select("doc_id"), df, 100)
+    assert got.num_rows == 10 and 3 not in got["doc_id"].to_pylist()
+    assert toxicity._bounded(df.select("doc_id").limit(0), df, 100).num_rows == 0
