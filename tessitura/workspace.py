@@ -32,13 +32,33 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _LOCAL[app]
 
 
+#: Folders of workspaces that were written to, as (file system, path) of the JVM.
+_WRITTEN: list[tuple] = []
+
+
+def clear() -> None:
+    """Remove the tables of all workspaces so far. For use between queries whose results have been consumed; what is left
+    goes when the program ends, in a shared folder too."""
+    while _WRITTEN:
+        system, path = _WRITTEN.pop()
+        try:
+            system.delete(path, True)
+        except Exception:  # the session's machinery may be gone at the end
+            pass
+
+
+atexit.register(clear)
+
+
 class Workspace:
     """Tables of one query. ``drop`` frees a table that nothing lazy reads any more; what a returned
-    DataFrame still reads lives until the session ends."""
+    DataFrame still reads lives until :func:`clear` is called or the program ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        _WRITTEN.append((path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path))
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that scans the written table."""

@@ -210,3 +210,16 @@ def test_filter_that_would_not_prune_is_left_out(spark, monkeypatch):
     want = rows(references.orphans(q, p).select("id", "cause"))
     monkeypatch.setattr(references, "USELESS", -1.0)
     assert rows(references.orphans(q, p).select("id", "cause")) == want == [(2, "missing"), (4, "deleted")]
+
+
+def test_tables_of_workspaces_can_be_removed(spark):
+    import os
+
+    from tessitura import workspace
+
+    ws = workspace.Workspace(spark, "gone")
+    assert ws.write(spark.range(3), "t").count() == 3
+    at = ws.path.removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(at)
+    workspace.clear()
+    assert not os.path.exists(at)
