@@ -14,8 +14,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,29 @@ def _clean(text: str) -> str:
     return text.lower()
 
 
+class Pieces(dict):
+    """Piece of text between spaces to the tokens in it, or to ``of`` these. Tokens never hold a space, so a text's tokens are
+    those of its pieces, and most pieces have been seen before. Long ones (text without spaces) are not remembered."""
+
+    #: Pieces remembered, the memory being emptied beyond, and characters of the longest of them.
+    REMEMBER, LONGEST = 300_000, 40
+
+    def __init__(self, of: Callable[[list[str]], Iterable]):
+        super().__init__()
+        self._of = of
+
+    def __missing__(self, piece: str) -> tuple:
+        found = tuple(self._of(_TOKEN(piece)))
+        if len(piece) <= self.LONGEST:
+            if len(self) > self.REMEMBER:
+                self.clear()
+            self[piece] = found
+        return found
+
+    def in_text(self, text: str) -> chain:
+        return chain.from_iterable(map(self.__getitem__, text.split(" ")))
+
+
 class Vocabulary(dict):
     """Token to id. Words that are not known are looked up without disguise, once each."""
 
@@ -96,6 +121,7 @@ class Vocabulary(dict):
 
     def _restart(self) -> None:
         self.clear()
+        self.pieces = Pieces(partial(map, self.__getitem__))
         self.update({c: END for c in _ENDS} | {c: COMMA for c in _COMMAS})
         self.update({chr(97 + i): LETTERS + i for i in range(26)})
         self.update({w: FIRST_WORD + i for i, w in enumerate(self.words)})
@@ -152,9 +178,9 @@ class Tokens:
 
     @staticmethod
     def of(texts: list[str | None], vocabulary: Vocabulary) -> Tokens:
-        parts, ends, n, get = [], [], 0, vocabulary.__getitem__
+        parts, ends, n = [], [], 0
         for t in texts:
-            ids = np.fromiter(map(get, _TOKEN(_clean(t))), dtype=np.int32) if t else np.zeros(0, dtype=np.int32)
+            ids = np.fromiter(vocabulary.pieces.in_text(_clean(t)), dtype=np.int32) if t else np.zeros(0, dtype=np.int32)
             ids = _joined(ids, vocabulary)
             ids = np.append(ids[ids != NUMBER], END).astype(np.int32)
             parts.append(ids)
@@ -284,15 +310,15 @@ def document_frequencies(texts: DataFrame, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        pieces = Pieces(lambda tokens: filter(_wordlike, tokens))
 
         def out() -> pa.RecordBatch:
-            words = [w for w in seen if _wordlike(w)]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
             for t in b[0].to_pylist():
                 if t:
-                    seen.update(set(_TOKEN(_clean(t))))
+                    seen.update(set(pieces.in_text(_clean(t))))
             if len(seen) > COUNTED:
                 yield out()
                 seen = Counter()
