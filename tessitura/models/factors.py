@@ -171,8 +171,8 @@ def extract_approximate(stats: DataFrame, m: Mixture, t: np.ndarray, method: str
     return stats.select("seg_id", "stat0", "stat1").mapInArrow(run, "seg_id string, v array<double>")
 
 
-def plda(vectors: DataFrame, rank: int, iterations: int = 10) -> FactorModel:
-    """Simplified PLDA (mean, F, full residual) by EM from the main directions of the total covariance.
+def plda(vectors: DataFrame, rank: int, iterations: int = 10, start: np.ndarray | None = None) -> FactorModel:
+    """Simplified PLDA (mean, F, full residual) by EM from ``start`` or the main directions of the total covariance.
 
     ``vectors``: (model_id, stat1). Each iteration is one pass over the class sums.
     """
@@ -180,7 +180,7 @@ def plda(vectors: DataFrame, rank: int, iterations: int = 10) -> FactorModel:
     classes = sum_per_model(vectors.select("model_id", "stat1", F.array(F.lit(1.0)).alias("stat0"))).select("n_sessions", "stat1").persist()
     n_all, d = vectors.count(), len(mu)
     val, vec = np.linalg.eigh(total)
-    f, sigma = vec[:, np.argsort(val)[::-1][:rank]], total
+    f, sigma = vec[:, np.argsort(val)[::-1][:rank]] if start is None else np.array(start, dtype=np.float64), total
     tri = rank * (rank + 1) // 2
     try:
         for _ in range(iterations):

@@ -131,6 +131,13 @@ def gaussian_likelihood(s, d):
     return s.createDataFrame([(n, round(v / max(1, n), R))], "n long, llk double")
 
 
+def plda_fit(s, d):
+    """Loadings and residual variances of one speaker factor after two steps from a fixed start."""
+    x = V.sessions(s, d).select("model_id", "stat1")
+    m = factors.plda(x, 1, 2, LOADINGS[:, :1])
+    return s.createDataFrame([(i, round(float(m.F[i, 0]) + EPS, R), round(float(m.sigma[i, i]) + EPS, R)) for i in range(D)], "i int, f double, sigma double")
+
+
 def factor_model_table(s, d):
     """A model kept as a table and read back."""
     kept = factors.FactorModel(np.arange(4.0), F=LOADINGS[:4, :2], H=np.arange(4) / 2).to_table(s)
@@ -142,7 +149,7 @@ QUERIES = {
     for f in (
         score_two_covariance, score_mahalanobis_full, score_cosine_wccn, score_plda, score_plda_full, score_plda_open_set, score_plda_uncertain,
         score_gaussian_backend, score_gaussian_backend_own, vectors_whiten_full, spectral_normalise, project_lda, remove_nap, background_kernel,
-        gaussian_likelihood, factor_model_table,
+        gaussian_likelihood, plda_fit, factor_model_table,
     )
 }
 
@@ -206,7 +213,22 @@ _LANG = """lg as (select seg_id, min(lang) as lang from segment_registry where l
 _SSU = f"{V.SESSIONS}"
 _OPEN = f"""select a.model_id, a.seg_id, round(a.score - ln((1 - 0.4) + coalesce(0.4 * b.s / b.n, 0)) + {EPS}, {R}) as score from r a left join
   (select x.model_id, x.seg_id, sum(exp(y.score)) as s, count(*) as n from r x join r y on x.seg_id = y.seg_id and x.model_id <> y.model_id group by 1, 2) b using (model_id, seg_id)"""
+
+
+def _plda_step(k: int) -> str:
+    """From loadings f{k} (f) and residual s{k} (m) to the next ones, over class sums cs (n, x) and the total tm."""
+    return f"""{_inverse(f'si{k}', f's{k}')}, pv{k} as (select list_transform(m, lambda r: list_inner_product(r, f)) as p, f from si{k}, f{k}),
+ hc{k} as (select n, x, 1 / (1 + n * list_inner_product(f, p)) as c, list_inner_product(x, p) as b from cs, pv{k}), hh{k} as (select n, x, c * b as h, c + c * c * b * b as hh from hc{k}),
+ xs{k} as (select i, sum(h * v) as c from (select h, unnest(range({D})) as i, unnest(x) as v from hh{k}) group by 1), cr{k} as (select list(c order by i) as c from xs{k}),
+ ag{k} as (select sum(n * hh) as a, avg(hh) as s, sum(n) as n from hh{k}),
+ s{k + 1} as (select list_transform(tm.m, lambda r, i: list_transform(r, lambda x, j: x - c[i] * c[j] / (a * ag{k}.n))) as m from tm, cr{k}, ag{k}),
+ f{k + 1} as (select list_transform(c, lambda x: x / a * sqrt(s)) as f from cr{k}, ag{k})"""
+
+
 SQL = {
+    "plda_fit": f"""with recursive {_PM}, {_TOTAL}, cz as (select model_id, i, any_value(n) as n, sum(s) - any_value(n) * any_value(g) as x from m join g using (i) group by 1, 2),
+ cs as (select model_id, any_value(n) as n, list(x order by i) as x from cz group by 1), f0 as (select list_transform(range({D}), lambda i: cos(i) / 8) as f), s0 as (select m from tm), {_plda_step(0)}, {_plda_step(1)}
+ select i::int as i, round(f[i + 1] + {EPS}, {R}) as f, round(m[i + 1][i + 1] + {EPS}, {R}) as sigma from f2, s2, range({D}) r(i)""",
     "score_two_covariance": f"""with recursive {_PM}, {_SIDES}, {_WITHIN}, {_BETWEEN},
  w2 as (select i, j, x + case when i = j then 0.01 else 0 end as x from wx), b2 as (select i, j, x + case when i = j then 0.01 else 0 end as x from bx),
  {_cells('wm', 'w2')}, {_cells('bm', 'b2')}, {_inverse('iw', 'wm')}, {_inverse('ib', 'bm')},

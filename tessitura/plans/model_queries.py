@@ -14,6 +14,7 @@ from tessitura.operators import vectors as VE
 from tessitura.plans import views as V
 from tessitura.plans.feature_queries import _cells, _frames
 from tessitura.plans.tables import table
+from tessitura.sources import binary
 
 # A mixture of three components over (value / 100, k / 50) of the events.
 MIX = gmm.Mixture(np.array([0.5, 0.3, 0.2]), np.array([[0.3, 0.5], [1.0, 1.0], [2.0, 1.5]]), np.array([[0.2, 0.3], [0.5, 0.4], [1.0, 0.6]]))
@@ -126,6 +127,24 @@ def score_jfa(s, d):
     return SC.jfa(trials, *sides).withColumn("score", F.round(F.col("score") + EPS, 6))
 
 
+def jfa_fit(s, d):
+    """Speaker, channel and diagonal loadings, two steps each; shows with the same last digit are a speaker."""
+    st = gmm.sufficient_statistics(_scaled(s, d), MIX).withColumn("model_id", F.right("seg_id", F.lit(1)))
+    m = factors.joint_factor_analysis(st, MIX, 1, 1, True, (2, 2, 2))
+    return s.createDataFrame([(k, *(round(float(x) + EPS, 5) for x in (m.F[k, 0], m.G[k, 0], m.H[k]))) for k in range(6)], "k int, v double, u double, d double")
+
+
+def mixture_raw_file(s, d):
+    """The fixed mixture in its binary form and back."""
+    return _parameters(s, binary.decode_raw_mixture(binary.encode_raw_mixture(MIX)))
+
+
+def mixture_text_file(s, d):
+    """The fixed mixture from a text definition of its components."""
+    parts = ["<NUMMIXES> 3"] + [f"<MIXTURE> {g + 1} {MIX.w[g]}\n<MEAN> 2\n {MIX.mu[g][0]} {MIX.mu[g][1]}\n<VARIANCE> 2\n {MIX.cov[g][0]} {MIX.cov[g][1]}" for g in range(3)]
+    return _parameters(s, binary.parse_htk_mixture("\n".join(parts)))
+
+
 def _posterior(s, d):
     lp = gmm.frame_log_likelihood(_scaled(s, d), MIX).select("show", "frame_idx", VE.posteriors("lp").alias("posterior"))
     return _scaled(s, d).join(lp, ["show", "frame_idx"])
@@ -210,7 +229,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gmm_log_likelihood, gmm_component_log_density, gmm_statistics, gmm_em_step, gmm_em_limited, gmm_fit, gmm_full_density, gmm_full_steps, gmm_merge, gmm_scores,
-        map_adapt_scaled, session_vectors, session_vectors_approximate, score_jfa, posterior_statistics, posterior_mixture, network_posteriors, network_embeddings, network_batches, network_train, network_train_segments, svm_machines, codec_percentile, codec_linear, frequency_scales,
+        map_adapt_scaled, session_vectors, session_vectors_approximate, score_jfa, jfa_fit, mixture_raw_file, mixture_text_file, posterior_statistics, posterior_mixture, network_posteriors, network_embeddings, network_batches, network_train, network_train_segments, svm_machines, codec_percentile, codec_linear, frequency_scales,
     )
 }
 
@@ -269,10 +288,24 @@ _STATS = f"""{_G}, so as (select show_id, [sum(g0), sum(g1), sum(g2)] as n, [{',
  sk as (select show_id, k, g, n[g + 1] as n, f[k + 1] as s, (f[k + 1] - n[g + 1] * mu) / sqrt(cov) as x, mu, cov, t, u, h from so, mk)"""
 
 
-def _tv_step(i: int) -> str:
-    """Loadings of the next step from those of t{i} (k, t)."""
-    return f"""h{i} as (select show_id, 1 + sum(n * t{i}.t ** 2) as l, sum(x * t{i}.t) as b from sk join t{i} using (k) group by 1), e{i} as (select show_id, b / l as v, 1 / l + (b / l) ** 2 as hh from h{i}),
- a{i} as (select k, sum(x * v) / (sum(n * hh) + 1e-10) as t from sk join e{i} using (show_id) group by 1), t{i + 1} as (select k, t * sqrt((select avg(hh) from e{i})) as t from a{i})"""
+def _tv_step(i: int, t: str = "t", sk: str = "sk", key: str = "show_id") -> str:
+    """Loadings of the next step from those of ``t``{i} (k, t), over the rows ``sk`` (key, k, n, x)."""
+    return f"""h{t}{i} as (select {key}, 1 + sum({sk}.n * {t}{i}.t ** 2) as l, sum({sk}.x * {t}{i}.t) as b from {sk} join {t}{i} using (k) group by 1), e{t}{i} as (select {key}, b / l as v, 1 / l + (b / l) ** 2 as hh from h{t}{i}),
+ a{t}{i} as (select k, sum({sk}.x * v) / (sum({sk}.n * hh) + 1e-10) as t from {sk} join e{t}{i} using ({key}) group by 1), {t}{i + 1} as (select k, t * sqrt((select avg(hh) from e{t}{i})) as t from a{t}{i})"""
+
+
+def _without(name: str, source: str, t: str, rows: str, key: str) -> str:
+    """``name``: ``rows`` (.., k, n, x) less what loadings ``t`` and the factor of their ``key``, estimated over ``source``, explain."""
+    return f"""y_{name} as (select {key}, sum({source}.x * {t}.t) / (1 + sum({source}.n * {t}.t ** 2)) as y from {source} join {t} using (k) group by 1),
+ {name} as (select {rows}.* exclude (x), {rows}.x - {rows}.n * y * {t}.t as x from {rows} join y_{name} using ({key}) join {t} using (k))"""
+
+
+def _diagonal_step(i: int) -> str:
+    return f"d{i + 1} as (select k, sum(z * x) / greatest(sum(n * (c + z * z)), 1e-10) as d from (select k, n, x, 1 / (1 + n * d * d) as c, d * x / (1 + n * d * d) as z from rm join d{i} using (k)) group by 1)"
+
+
+_DRAWN = np.random.default_rng(0)
+_V0, _U0 = (_DRAWN.normal(size=(6, 1)) * 0.1 for _ in range(2))
 
 
 _LEAKY = "case when {0} > 0 then {0} else 0.2 * {0} end"
@@ -338,4 +371,11 @@ SQL = {
  select right(show_id, 1)::int as label, show_id, chunk, (frame_idx % 10) * 2 + j as i, round((x - m) / case when s = 0 then 1 else s end + {EPS}, 6) as x from k join m using (show_id, chunk, j)""",
     "network_train": "select range::int as pass, true as lower_than_first from range(4)",
     "network_train_segments": "select range::int as pass, true as lower_than_first from range(4)",
+    "jfa_fit": f"""with {_STATS}, sm as (select show_id, right(show_id, 1) as model_id, k, n, x from sk), bm as (select model_id, k, sum(n) as n, sum(x) as x from sm group by 1, 2),
+ {_table('v0', 'k, t', [(k, float(_V0[k, 0])) for k in range(6)])}, {_tv_step(0, 'v', 'bm', 'model_id')}, {_tv_step(1, 'v', 'bm', 'model_id')}, {_without('lf', 'bm', 'v2', 'sm', 'model_id')},
+ {_table('u0', 'k, t', [(k, float(_U0[k, 0])) for k in range(6)])}, {_tv_step(0, 'u', 'lf')}, {_tv_step(1, 'u', 'lf')}, {_without('rs', 'lf', 'u2', 'lf', 'show_id')},
+ rm as (select model_id, k, sum(n) as n, sum(x) as x from rs group by 1, 2), d0 as (select k, 0.1::double as d from v0), {_diagonal_step(0)}, {_diagonal_step(1)}
+ select k::int as k, round(v2.t + {EPS}, 5) as v, round(u2.t + {EPS}, 5) as u, round(d2.d + {EPS}, 5) as d from v2 join u2 using (k) join d2 using (k)""",
+    "mixture_raw_file": f"with {_fixed(MIX)} {_out_parameters('mix')}",
+    "mixture_text_file": f"with {_fixed(MIX)} {_out_parameters('mix')}",
 }
