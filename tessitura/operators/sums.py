@@ -81,8 +81,7 @@ def _combined(df: DataFrame, by: list[str], columns: list[str], start: Callable[
     for c in columns:
         rows = rows.where(F.col(c).isNotNull())
     parts = rows.select(*by, *columns).mapInArrow(partial, schema)
-    grouped = parts.groupBy(*[F.col(c) for c in by]) if by else parts.groupBy(F.lit(0))
-    return grouped.applyInArrow(whole, schema)
+    return parts.groupBy(*[F.col(c) for c in by]).applyInArrow(whole, schema)
 
 
 def _arrow(t: T.DataType) -> pa.DataType:

@@ -31,6 +31,7 @@ class Extraction:
     preemphasis: float = 0.97
     use_rasta: bool = False
     snr: float | None = None
+    minimum: bool = False
     dither: float = 1e-6
 
 
@@ -41,7 +42,7 @@ def extract(audio: DataFrame, e: Extraction = Extraction()) -> DataFrame:
     """(show, channel, frame_idx, energy, cep, fb, vad) of every signal (show, channel, sample_rate, samples).
 
     Signals too short for a frame, null or constant ones give frames only as far as they have any; a dither of
-    fixed seed and size ``dither`` keeps logarithms apart. ``vad`` is by signal-to-noise ratio where ``snr`` is set, else true.
+    fixed seed and size ``dither`` keeps logarithms apart. ``vad`` is by signal-to-noise ratio where ``snr`` is set (``minimum`` chooses the enhancement), else true.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +59,7 @@ def extract(audio: DataFrame, e: Extraction = Extraction()) -> DataFrame:
                 n = len(f["cep"])
                 vad = np.ones(n, dtype=bool)
                 if e.snr is not None:
-                    v = K.vad_snr(x, e.snr, fs, e.shift, int(round(e.window * fs)))
+                    v = K.vad_snr(x, e.snr, fs, e.shift, int(round(e.window * fs)), e.minimum)
                     vad[: len(v)] = v[:n]
                 lists = [pa.array([r.tolist() for r in f[k]], pa.list_(pa.float64())) for k in ("cep", "fb")]
                 yield pa.RecordBatch.from_arrays(

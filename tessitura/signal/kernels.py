@@ -302,6 +302,46 @@ def decimate(x: np.ndarray, factor: int, taps: int = 0) -> np.ndarray:
     return np.convolve(x, h / h.sum(), mode="same")[::factor]
 
 
+def noise_level(amplitude: np.ndarray, start: float, memory: int = 40, blocks: int = 4, smooth: float = 0.9024) -> np.ndarray:
+    """Minimum statistics: by frame and bin the smallest smoothed amplitude of the current block of ``memory`` frames so far
+    and of the ``blocks`` - 1 blocks before it; blocks before the first one hold ``start``."""
+    level = one_pole((1 - smooth) * amplitude, smooth)
+    out, past = np.empty_like(level), [np.full(level.shape[1], start)] * (blocks - 1)
+    first = np.full((1, level.shape[1]), start)  # the first block goes on from the start value and is one frame shorter
+    at, n = 0, memory - 1
+    while at < len(level):
+        low = np.minimum.accumulate(np.concatenate([first, level[at : at + n]]))[len(first) :]
+        out[at : at + n] = np.minimum(low, np.min(past, axis=0))
+        past = [low[-1], *past[:-1]]
+        at, n, first = at + n, memory, level[:0]
+    return out
+
+
+def enhance_minimum(x: np.ndarray, gain: float = 1.2, size: int = 64, lead: int = 200) -> np.ndarray:
+    """Wiener enhancement with noise from minimum statistics, which see the first ``lead`` frames twice. The output is late by
+    half a frame; signals below 512 samples come back as they are. Sounds that stay the same for 160 frames count as noise."""
+    x = np.asarray(x, dtype=np.float64)
+    if len(x) < 512:
+        return x
+    shift = size // 2
+    n = -(-len(x) // shift)
+    f = frame_signal(np.concatenate([np.zeros(shift), x, np.zeros(n * shift - len(x))]), size, shift)
+    spec = np.fft.rfft(f * 1.08 * np.hamming(size), axis=1)
+    amplitude = np.abs(spec)
+    before = amplitude[: min(lead, len(x) // shift)]
+    noise = 2 * gain * noise_level(np.concatenate([before, amplitude]), size / 2)[len(before) :]
+    # Smoothing of the speech amplitude and the level of overlapping windows.
+    keep, overlap = 0.75, 1.15
+    out, last = np.empty_like(amplitude), np.zeros(amplitude.shape[1])
+    over = (1 - keep) * np.maximum(amplitude - noise, 0)
+    for t in range(len(amplitude)):
+        speech = keep * last + over[t]
+        out[t] = last = amplitude[t] * speech / np.maximum(speech + noise[t], 1e-300)
+    y = np.fft.irfft(spec * out / (amplitude + np.spacing(1.0)), size, axis=1)
+    y[1:, :shift] += y[:-1, shift:]
+    return y[:, :shift].ravel()[: len(x)] / overlap
+
+
 def enhance(x: np.ndarray, fs: int, floor: float = 0.05, window: float = 0.032, history: int = 60) -> np.ndarray:
     """Spectral-subtraction (Wiener) enhancement: the noise is the smoothed spectrum's minimum over the last frames."""
     size = fft_size(int(window * fs))
@@ -318,8 +358,9 @@ def enhance(x: np.ndarray, fs: int, floor: float = 0.05, window: float = 0.032,
     return out[shift : shift + len(x)]
 
 
-def vad_snr(x: np.ndarray, snr: float, fs: int = 16000, shift: float = 0.01, size: int = 256) -> np.ndarray:
-    """Frames whose level after enhancement lies within ``snr`` dB of the loudest and above -75 dB."""
-    f = frame_signal(enhance(x, fs), size, int(shift * fs))
+def vad_snr(x: np.ndarray, snr: float, fs: int = 16000, shift: float = 0.01, size: int = 256, minimum: bool = False) -> np.ndarray:
+    """Frames whose level after enhancement lies within ``snr`` dB of the loudest and above -75 dB; with ``minimum`` the
+    enhancement is :func:`enhance_minimum`."""
+    f = frame_signal(enhance_minimum(x) if minimum else enhance(x, fs), size, int(shift * fs))
     level = 20 * np.log10(np.maximum(f.std(1), 1e-12))
     return (level > level.max() - snr) & (level > -75) if len(level) else np.zeros(0, dtype=bool)
