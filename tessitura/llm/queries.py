@@ -61,7 +61,7 @@ def p6_found(spark, d):
 
 
 def p6_top(spark, d):
-    return _vectors(spark, d).search(F.col("id") % 100 == 0)
+    return _vectors(spark, d).search(F.col("id") % 100 == 0).withColumn("cosine", F.round("cosine", 6))
 
 
 def p6_recall(spark, d):
@@ -130,6 +130,8 @@ v as (select modelset, {_SEG} as seg_id, score_id, scoremat from scores where {_
 b as (select * from v qualify row_number() over (partition by modelset, seg_id order by scoremat desc, score_id) = 1),
 t as (select *, row_number() over (partition by modelset order by scoremat desc, score_id) as rank from b qualify rank <= 10)
 """
+_VECTORS = """v as (select vec_id, list_transform(stat1, lambda x: x::double) as x from stat_server where len(stat1) = 64
+  and list_bool_and(list_transform(stat1, lambda x: coalesce(isfinite(x), false))) and list_bool_or(list_transform(stat1, lambda x: x <> 0)))"""
 _LEFT = sql_seg_id("rightids")
 SQL = {
     "p1_found": f"with {_KEPT} select score_id from r join cut using (source) where scoremat >= cutoff",
@@ -146,8 +148,10 @@ cc(id, comp) using key (id) as (
 select comp as group_leftid, id as leftid from cc where comp <> id""",
     "p3_check": "select 0 as unassigned, 0 as split_leftids, 0 as split_seg_ids, 0 as shares_off",
     "p5_found": f"with {_TOP} select score_id from t",
-    "p6_found": """with v as (select vec_id, list_transform(stat1, lambda x: x::double) as x from stat_server where len(stat1) = 64
-  and list_bool_and(list_transform(stat1, lambda x: coalesce(isfinite(x), false))) and list_bool_or(list_transform(stat1, lambda x: x <> 0))),
+    # the search is not exact in general (see p6_recall); on small tables every block reranks all that comes near
+    "p6_top": f"""with {_VECTORS}, p as (select a.vec_id, b.vec_id as neighbour, list_cosine_similarity(a.x, b.x) as cosine from v a, v b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+t as (select *, row_number() over (partition by vec_id order by cosine desc, neighbour) as rank from p qualify rank <= 5) select vec_id, neighbour, round(cosine, 6) as cosine, rank::int as rank from t""",
+    "p6_found": f"""with {_VECTORS},
 p as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.x, b.x) as c from v a, v b where a.vec_id <> b.vec_id),
 t as (select * from p qualify row_number() over (partition by a order by c desc, b) <= 5)
 select distinct least(a, b) as vec_a, greatest(a, b) as vec_b from t where c >= 0.9""",
