@@ -63,9 +63,10 @@ def keep_fraction(records: DataFrame, targets: DataFrame) -> Kept:
     # one row per source of the targets table, which the caller chooses: a small table by its meaning
     wanted = targets.where(F.col("source").isNotNull() & F.col("keep_fraction").isNotNull()).groupBy("source").agg(F.max("keep_fraction").alias("keep_fraction"))
     order = [F.col("source"), F.col("scoremat").desc(), F.col("score_id")]
+    # written first: the bounds of the range are sampled from what is then sorted, which would be joined twice
+    wanted_records = ws.write(records.join(F.broadcast(wanted.select("source")), "source", "left_semi"), "records")
     ranged = ws.write(
-        records.join(wanted.select("source"), "source", "left_semi")
-        .repartitionByRange(*order)
+        wanted_records.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id()),
         "ranged",
