@@ -21,7 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.workspace import Workspace, bounded_sample
@@ -238,6 +238,20 @@ class ToxicityModel:
     prior: float = PRIOR
     history: list[float] = field(default_factory=list)
 
+    def to_table(self, spark: SparkSession) -> DataFrame:
+        """One row that keeps the model, so that a fit serves many runs."""
+        row = pa.table({"words": pa.array([self.vocabulary.words], pa.list_(pa.string())), "weights": pa.array([self.weights.astype("<f4").tobytes()], pa.binary()), "bias": [float(self.bias)], "prior": [float(self.prior)]})
+        return spark.createDataFrame(row)
+
+    @staticmethod
+    def from_table(df: DataFrame) -> ToxicityModel:
+        """The model of a table of :meth:`to_table`; anything but one fitting row raises."""
+        rows = df.limit(2).collect()
+        if len(rows) != 1 or len(rows[0].weights) != 4 * (FIRST_WORD + len(rows[0].words) + DIMENSIONS + 1):
+            raise ValueError("not the table of one model")
+        r = rows[0]
+        return ToxicityModel(Vocabulary(list(r.words)), np.frombuffer(r.weights, dtype="<f4"), r.bias, r.prior)
+
     def clause_scores(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         starts, text = t.clauses()
         if not len(starts):
@@ -449,9 +463,9 @@ def score(documents: DataFrame, model: ToxicityModel, keep: list[str], text: str
     return documents.select(*keep, text).mapInArrow(run, documents.select(*keep).schema.add("score", "double"))
 
 
-def toxic_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, source, score, toxic) of every document."""
-    model = train(documents, labels)
+def toxic_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: ToxicityModel | None = None) -> DataFrame:
+    """(doc_id, source, score, toxic) of every document, by ``model`` or one fitted on these."""
+    model = model or train(documents, labels)
     return score(documents, model, ["doc_id", "source"]).withColumn("toxic", F.col("score") >= threshold)
 
 

@@ -238,3 +238,16 @@ def test_texts_of_the_fit_are_weighed_before_they_are_read(spark):
     got = toxicity._bounded(df.select("doc_id"), df, 100)
     assert got.num_rows == 10 and 3 not in got["doc_id"].to_pylist()
     assert toxicity._bounded(df.select("doc_id").limit(0), df, 100).num_rows == 0
+
+
+def test_a_fitted_model_is_kept(spark, tmp_path):
+    m = toxicity.fit(patents(60, set(range(60)), 2), patents(90, set(), 3), np.zeros(90, dtype=bool))
+    m.to_table(spark).write.parquet(f"{tmp_path}/model")
+    back = toxicity.ToxicityModel.from_table(spark.read.parquet(f"{tmp_path}/model"))
+    texts = patents(20, {3}, 1)
+    assert np.allclose(back.scores(texts), m.scores(texts)) and back.prior == m.prior
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], DOCS)
+    got = toxicity.toxic_documents(df, spark.createDataFrame([], "doc_id long, reviewer string, label string"), model=back)
+    assert np.allclose([r.score for r in got.orderBy("doc_id").collect()], m.scores(texts))
+    with pytest.raises(ValueError):
+        toxicity.ToxicityModel.from_table(spark.read.parquet(f"{tmp_path}/model").limit(0))
