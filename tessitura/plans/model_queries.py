@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessitura.functions import scales
-from tessitura.models import factors, gmm, networks, svm, training
+from tessitura.models import classify, factors, gmm, networks, svm, training
 from tessitura.operators import codecs
 from tessitura.operators import scoring as SC
 from tessitura.operators import stats as ST
@@ -203,6 +203,15 @@ def network_train_segments(s, d):
     return _falls(s, t.history)
 
 
+def svm_cross_validation(s, d):
+    """Frames as speech or not, each predicted by machines of the other two folds: rows by fold, and whether at least
+    as many are right as the more frequent class has."""
+    f = _frames(s, d).select("frame_idx", F.col("vad").cast("int").alias("label"), F.array(F.col("x") / 100, F.get("cep", F.lit(1)) / 50).alias("v"), (F.col("frame_idx") % 3).alias("fold"))
+    done, _ = classify.cross_validate(f, "fold", 3)
+    right, most = F.count_if(F.col("predicted") == F.col("label")), F.greatest(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0))
+    return done.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), (right >= 0.95 * most).alias("as_good_as_a_guess"))
+
+
 def svm_machines(s, d):
     """One machine for every model against the mean vectors of all models."""
     x = V.sessions(s, d)
@@ -229,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gmm_log_likelihood, gmm_component_log_density, gmm_statistics, gmm_em_step, gmm_em_limited, gmm_fit, gmm_full_density, gmm_full_steps, gmm_merge, gmm_scores,
-        map_adapt_scaled, session_vectors, session_vectors_approximate, score_jfa, jfa_fit, mixture_raw_file, mixture_text_file, posterior_statistics, posterior_mixture, network_posteriors, network_embeddings, network_batches, network_train, network_train_segments, svm_machines, codec_percentile, codec_linear, frequency_scales,
+        map_adapt_scaled, session_vectors, session_vectors_approximate, score_jfa, jfa_fit, mixture_raw_file, mixture_text_file, posterior_statistics, posterior_mixture, network_posteriors, network_embeddings, network_batches, network_train, network_train_segments, svm_cross_validation, svm_machines, codec_percentile, codec_linear, frequency_scales,
     )
 }
 
@@ -378,4 +387,5 @@ SQL = {
  select k::int as k, round(v2.t + {EPS}, 5) as v, round(u2.t + {EPS}, 5) as u, round(d2.d + {EPS}, 5) as d from v2 join u2 using (k) join d2 using (k)""",
     "mixture_raw_file": f"with {_fixed(MIX)} {_out_parameters('mix')}",
     "mixture_text_file": f"with {_fixed(MIX)} {_out_parameters('mix')}",
+    "svm_cross_validation": "select (k - 1) % 3 as fold, count(*) as n, true as as_good_as_a_guess from (select row_number() over (partition by user_id order by ts, event_id) as k from events) group by 1",
 }

@@ -321,3 +321,16 @@ def test_networks_learn_planted_classes(spark):
     net = TR.train(s, start, u, frames=20)
     got = [int(np.argmax(net.embed(np.array(x).reshape(20, 2), 2))) for _, _, x in seg]
     assert np.mean(np.array(got) == np.arange(240) % 2) > 0.85
+
+
+def test_classes_are_separated_and_cross_validated(spark):
+    from tessitura.models import classify as C
+
+    rng = np.random.default_rng(3)
+    centre = np.array([[3.0, 0, 0], [0, 3.0, 0], [0, 0, 3.0]])
+    rows = [(i, i % 3, (centre[i % 3] + rng.normal(size=3) * 0.6).tolist(), (i // 3) % 4) for i in range(240)] + [(900, None, [1.0, 0.0, 0.0], 0), (901, 1, None, 1)]
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>, fold int")
+    done, quality = C.cross_validate(df, "fold", 4, cost=1.0)
+    got = {r.id: r.predicted for r in done.collect()}
+    assert len(got) == 241 and 901 not in got and np.mean([got[i] == i % 3 for i in range(240)]) > 0.95
+    assert quality.first().accuracy > 95
