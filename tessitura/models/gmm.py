@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 from tessitura.models.accumulate import accumulate, pack_symmetric, unpack_symmetric
 from tessitura.operators.sums import vector_sums
 from tessitura.operators.vectors import lists, matrix
+from tessitura.workspace import Workspace
+
+#: Frames in a block; blocks of a segment that one task adds up.
+BLOCK, WHOLE = 2000, 64
+#: Most models of a tile, most numbers in their means, and pairs of a frame and a model in a tile: these bound memory and time of a task only.
+TILE_MODELS, TILE_MEANS, TILE_PAIRS = 8192, 1 << 22, 1 << 28
 
 
 @dataclass
@@ -224,11 +230,14 @@ def sufficient_statistics(frames: DataFrame, m: Mixture) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = matrix(b["cep"])
+                code = b["seg_id"].dictionary_encode()
+                names, at = code.dictionary, code.indices.to_numpy()
+                order = np.argsort(at, kind="stable")
+                x = matrix(b["cep"])[order]
                 g, _ = shared.value.posteriors(x)
-                names, at = np.unique(np.asarray(b["seg_id"].to_pylist(), dtype=object), return_inverse=True)
-                rows = [np.concatenate([g[at == k].sum(0), (g[at == k].T @ x[at == k]).ravel()]) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), lists(np.array(rows))], ["seg_id", "v"])
+                ends = np.cumsum(np.bincount(at, minlength=len(names)))
+                rows = [np.concatenate([g[i:j].sum(0), (g[i:j].T @ x[i:j]).ravel()]) for i, j in zip([0, *ends[:-1]], ends)]
+                yield pa.RecordBatch.from_arrays([names, lists(np.array(rows))], ["seg_id", "v"])
 
     parts = frames.where("seg_id is not null and cep is not null").select("seg_id", "cep").mapInArrow(run, "seg_id string, v array<double>")
     return vector_sums(parts, ["seg_id"], {"v": "v"}).select("seg_id", F.slice("v", 1, c).alias("stat0"), F.slice("v", c + 1, c * m.dim).alias("stat1"))
@@ -262,3 +271,137 @@ def score(trials: DataFrame, frames: DataFrame, models: DataFrame, m: Mixture, b
 
     parts = blocks.join(packed, "seg_id").select("seg_id", "x", "m").mapInArrow(run, "model_id string, seg_id string, s double, n long")
     return parts.groupBy("model_id", "seg_id").agg((F.sum("s") / F.sum("n")).alias("score"))
+
+
+class _Ratios:
+    """Log-likelihood ratios of the adapted means in the rows of ``v`` to the mixture ``m``, summed over frames.
+
+    Covariances and weights are the mixture's, so a frame's ratio is ln sum_g r_g exp(x . s_g - k_g) with the mixture's
+    responsibilities r. The first component's exponent is taken out, where the sum over frames is linear; what is left is
+    multiplied over as many frames as stay within a double's range before one logarithm is taken.
+    """
+
+    def __init__(self, m: Mixture, v: np.ndarray):
+        self.m, self.v, self.centre = m, v, m.w @ m.mu
+        if m.full:
+            return
+        mean, p = v.reshape(len(v), m.n, m.dim), 1 / m.cov
+        slope = ((mean - m.mu) * p).transpose(1, 2, 0)
+        level = -0.5 * ((mean - m.mu) * p * (mean + m.mu - 2 * self.centre)).sum(2).T
+        self.first, self.start = slope[0].copy(), level[0].copy()
+        self.slope, self.level = slope[1:] - slope[0], level[1:] - level[0]
+
+    def _bound(self, x: np.ndarray) -> float:
+        """No exponent of these frames is larger, whatever its sign."""
+        if not self.level.size:
+            return 0.0
+        return float((np.abs(x).max(0) @ np.abs(self.slope).max(2).T + np.abs(self.level).max(1)).max())
+
+    def sums(self, y: np.ndarray) -> np.ndarray:
+        lp = self.m.log_density(y)
+        top = lp.max(1)
+        llk = top + np.log(np.exp(lp - top[:, None]).sum(1))
+        x = y - self.centre
+        bound = np.inf if self.m.full else self._bound(x)
+        if not bound < 200:
+            return np.array([(np.logaddexp.reduce(self.m.log_density(y, v), axis=1) - llk).sum() for v in self.v])
+        r = np.maximum(lp - llk[:, None], -2 * bound - 45)  # below, a component is nothing beside the others and its exponential would be subnormal
+        r0, n, width = np.exp(r[:, :1]), len(x), max(1, min(16, int(600 / max(bound, 1))))
+        sides = [np.column_stack([x, r[:, g], np.ones(n)]) for g in range(1, self.m.n)]
+        out = x.sum(0) @ self.first + n * self.start
+        step = max(64, (1 << 14) // n)
+        for at in range(0, len(self.v), step):
+            part = slice(at, at + step)
+            total = None
+            for left, slope, level in zip(sides, self.slope, self.level):
+                e = left @ np.vstack([slope[:, part], np.ones(len(level[part])), level[part]])
+                np.exp(e, out=e)
+                total = e if total is None else np.add(total, e, out=total)
+            if total is None:
+                continue
+            total += r0
+            whole = n // width * width
+            if whole:
+                out[part] += np.log(np.multiply.reduce(total[:whole].reshape(n // width, width, -1), axis=1)).sum(0)
+            if whole < n:
+                out[part] += np.log(np.multiply.reduce(total[whole:], axis=0))
+        return out
+
+
+def _tile_scores(blocks: DataFrame, models: DataFrame, m: Mixture, tiles: int) -> DataFrame:
+    """(model_id, seg_id, s, n): sums and numbers of frames of blocks (_by, _i, _j, seg_id, b, x) against the models (_by, _i, _j,
+    model_id, v) of the same tile. A segment's blocks in a tile are added up."""
+    shared = blocks.sparkSession.sparkContext.broadcast(m)
+    tile = ["_by", "_i", "_j"]
+    rows = models.select(*tile, F.lit(None).cast("string").alias("seg_id"), F.lit(-1).cast("long").alias("b"), "model_id", F.col("v").alias("x"))
+    rows = rows.unionByName(blocks.select(*tile, "seg_id", "b", F.lit(None).cast("string").alias("model_id"), "x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m_ = shared.value
+        now, names, means, ratios, seg, total, n = None, [], [], None, None, None, 0
+
+        def ready() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([models_, pa.repeat(pa.scalar(seg, pa.string()), len(total)), pa.array(total), pa.repeat(pa.scalar(n, pa.int64()), len(total))], ["model_id", "seg_id", "s", "n"])
+
+        for b in batches:
+            keys = list(zip(*(b[c].to_pylist() for c in tile)))
+            for i, (key, s, model) in enumerate(zip(keys, b["seg_id"].to_pylist(), b["model_id"].to_pylist())):
+                if (key, s) != (now, seg) and total is not None:
+                    yield ready()
+                    total = None
+                if key != now:
+                    now, names, means, ratios = key, [], [], None
+                seg = s
+                x = np.asarray(b["x"][i].values, dtype=np.float64)
+                if s is None:
+                    names.append(model)
+                    means.append(x)
+                    continue
+                if not names or not x.size:
+                    continue
+                if ratios is None:
+                    ratios, models_, means = _Ratios(m_, np.array(means)), pa.array(names, pa.string()), []
+                y = x.reshape(-1, m_.dim)
+                new = ratios.sums(y)
+                total, n = (new, len(y)) if total is None else (total + new, n + len(y))
+        if total is not None:
+            yield ready()
+
+    dealt = rows.repartition(tiles, *tile).sortWithinPartitions(*tile, F.col("seg_id").asc_nulls_first(), "b")
+    return dealt.mapInArrow(run, "model_id string, seg_id string, s double, n long")
+
+
+def score_within(frames: DataFrame, models: DataFrame, m: Mixture, block: int = BLOCK) -> DataFrame:
+    """As :func:`score` with all pairs of a model (by, model_id, v) and a segment of frames (by, seg_id, frame_idx, cep) that have
+    the same ``by`` as trials; models are distinct.
+
+    No trial is listed: the pairs of a group are cut into tiles of bounded size, to which frames are sent once for every
+    ``TILE_MODELS`` models. Segments of more than ``WHOLE`` blocks are cut, and their sums added by trial.
+    """
+    ws = Workspace(frames.sparkSession, "gmm-scores")
+    blocks = (
+        frames.where("by is not null and seg_id is not null")
+        .groupBy("by", "seg_id", F.floor(F.col("frame_idx") / block).alias("b"))
+        .agg(F.flatten(F.collect_list("cep")).alias("x"))  # at most ``block`` frames
+    )
+    blocks = ws.write(blocks.select(F.col("by").alias("_by"), "seg_id", "b", "x"), "blocks")
+    models = ws.write(models.where("by is not null").select(F.col("by").alias("_by"), "model_id", "v"), "models")
+    most = max(1, min(TILE_MODELS, TILE_MEANS // m.super_size))
+    counts = models.groupBy("_by").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_is"), F.count(F.lit(1)).alias("_models"))
+    pairs = F.sum(F.size("x") / m.dim) * F.least(F.any_value("_models"), F.lit(most))
+    counts = blocks.join(counts, "_by").groupBy("_by").agg(F.any_value("_is").alias("_is"), F.ceil(pairs / TILE_PAIRS).cast("int").alias("_js"))
+    counts = ws.write(counts.withColumn("_js", F.greatest("_js", F.lit(1))), "counts")  # one row a group
+    tiles = counts.agg(F.sum(F.col("_is").cast("long") * F.col("_js"))).first()[0] or 1
+    parts = max(1, min(tiles, max(4 * int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), tiles // 4)))
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    known = models.join(counts, "_by").withColumn("_i", F.pmod(F.xxhash64("model_id"), F.col("_is")).cast("int")).withColumn("_j", every("_js"))
+    placed = blocks.join(counts, "_by").withColumn("_j", F.pmod(F.xxhash64("seg_id", F.floor(F.col("b") / WHOLE)), F.col("_js")).cast("int")).withColumn("_i", every("_is"))
+    long = blocks.where(F.col("b") >= WHOLE).select("seg_id").distinct()
+    if long.isEmpty():
+        return _tile_scores(placed, known, m, parts).select("model_id", "seg_id", (F.col("s") / F.col("n")).alias("score"))
+    whole = _tile_scores(placed.join(long, "seg_id", "left_anti"), known, m, parts).select("model_id", "seg_id", (F.col("s") / F.col("n")).alias("score"))
+    cut = _tile_scores(placed.join(long, "seg_id"), known, m, parts).groupBy("model_id", "seg_id").agg((F.sum("s") / F.sum("n")).alias("score"))
+    return whole.unionByName(cut)

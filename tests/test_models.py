@@ -102,6 +102,30 @@ def test_statistics_and_gmm_scores(spark, frames):
     assert np.allclose([r.llk for r in llk], np.logaddexp.reduce(m.log_density(x), axis=1))
 
 
+def test_gmm_scores_of_all_pairs_by_tiles(spark, monkeypatch):
+    """No trial is listed: models and segments of a group meet in tiles. Frames far out and segments that are cut give the same scores."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    m = gmm.Mixture(np.array([0.5, 0.3, 0.2]), rng.normal(size=(3, 2)), rng.uniform(0.3, 1.0, (3, 2)))
+    x = {f"s{k}": rng.normal(size=(5 + 9 * k, 2)) * 2 for k in range(9)}
+    x["s3"][4] = [300.0, -200.0]  # exponents beyond a double's range
+    frames = spark.createDataFrame([(k, i, v.tolist(), str(int(k[1]) % 2)) for k, r in x.items() for i, v in enumerate(r)] + [("s9", 0, None, "1"), ("n", 0, [0.0, 0.0], None)], "seg_id string, frame_idx long, cep array<double>, by string")
+    means = {f"m{k}": m.mu + rng.normal(size=(3, 2)) for k in range(7)}
+    models = spark.createDataFrame([(k, v.ravel().tolist(), str(int(k[1]) % 2)) for k, v in means.items()] + [("m9", m.mu.ravel().tolist(), "7")], "model_id string, v array<double>, by string")
+    want = {(a, b): (np.logaddexp.reduce(m.log_density(x[b], v), axis=1) - np.logaddexp.reduce(m.log_density(x[b]), axis=1)).mean() for a, v in means.items() for b in x if int(a[1]) % 2 == int(b[1]) % 2}
+    for limits in ({}, {"TILE_MODELS": 2, "TILE_PAIRS": 60, "WHOLE": 2}):
+        for k, v in limits.items():
+            monkeypatch.setattr(gmm, k, v)
+        got = [((r.model_id, r.seg_id), r.score) for r in gmm.score_within(frames, models, m, block=7).collect()]
+        assert len(got) == len(want) and all(abs(s - want[k]) < 1e-9 for k, s in got)
+    one = gmm.Mixture(np.ones(1), m.mu[:1], m.cov[:1])
+    assert gmm.score_within(frames, models.withColumn("v", F.slice("v", 1, 2)), one).count() == len(want)
+    full = m.to_full()
+    got = {(r.model_id, r.seg_id): r.score for r in gmm.score_within(frames, models, full).collect()}
+    assert all(abs(got[k] - s) < 1e-9 * max(1, abs(s)) for k, s in want.items())
+
+
 def sessions(spark, seed=2, n=300, c=3, d=2, r=2):
     rng = np.random.default_rng(seed)
     m = gmm.Mixture(np.full(c, 1 / c), rng.normal(size=(c, d)) * 3, np.full((c, d), 1.5))
