@@ -262,6 +262,30 @@ def test_svm_without_size_limits(spark, vectors, monkeypatch):
     check(svm.train(few, background).collect())
 
 
+def test_svm_machines_are_solved_over_working_sets(monkeypatch):
+    """Whole problems are not solved one by one, and yet each machine's gap over all of the background is small."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(2000, 8)) * 2
+    background = centres + rng.normal(size=(2000, 8)) * 0.2
+    own = [centres[k] + rng.normal(size=(n, 8)) * 0.5 for k, n in enumerate([1, 2, 3, 5, 8, 40, 700])]
+    own += [np.full((1, 8), 1e-3), background[:1], np.vstack([centres[9:10]] * 4)]
+    solve, rows = svm.solve, []
+    monkeypatch.setattr(svm, "solve", lambda x, *a, **k: (rows.append(len(x)), solve(x, *a, **k))[1])
+    got = svm.solve_many(own, background)
+    assert all(700 < n < 2700 for n in rows)  # those of the large machine only
+    for x, r in zip(own, got):
+        x, y = np.vstack([background, x]), np.repeat([-1.0, 1.0], [len(background), len(x)])
+        size = (x**2).sum(1).mean()
+        w, b, _ = solve(x, y, 1 / size, 1e-6)
+
+        def primal(w, b):
+            return 0.5 * (w @ w + b**2 / size) + np.maximum(0, 1 - y * (x @ w + b)).sum() / size
+
+        assert primal(r[:-1], r[-1]) <= primal(w, b) * (1 + 1.1e-4)
+    monkeypatch.setattr(svm, "ROUNDS", 1)
+    assert np.allclose(svm.solve_many(own[:2], background), got[:2], atol=0.02)
+
+
 def test_joint_factor_analysis(spark):
     df, m, t = sessions(spark, n=200)
     model = factors.joint_factor_analysis(df, m, 2, 1, True, (6, 3, 3))
